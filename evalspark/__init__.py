@@ -1,0 +1,99 @@
+"""evalspark: evaluation results of language models as Spark DataFrames."""
+
+from evalspark.functions.globs import matches, matches_any
+from evalspark.functions.identity import (
+    chain_text,
+    display_name,
+    execution_id,
+    message_count,
+    messages_hash,
+    messages_json,
+    name_or_id,
+    short_model,
+    task_id,
+    with_identity,
+)
+from evalspark.operators.cleanup import (
+    clean_counts,
+    clean_errors,
+    clean_runs,
+    orphan_report,
+    orphan_run_counts,
+    orphan_task_ids,
+    orphan_totals,
+    prune_runs,
+    prune_tasks,
+)
+from evalspark.operators.grading import (
+    apply_grades,
+    grading_tally,
+    read_grades,
+    rejected_grades,
+    token_outcome,
+    token_score,
+)
+from evalspark.operators.migrations import (
+    CURRENT_VERSION,
+    current_version,
+    latest_version,
+    migrate_runs,
+    pending_upgrades,
+    record_version,
+)
+from evalspark.operators.models import model_aliases, resolve_models, unresolved_models
+from evalspark.operators.runs import (
+    cache_counts,
+    existing_executions,
+    filter_tasks,
+    matching_task_ids,
+    missing_executions,
+    missing_pairs,
+    pending_count,
+    pending_grades,
+    planned_executions,
+    runs_for_display,
+    successful_runs,
+    task_runs,
+)
+from evalspark.operators.upsert import (
+    flatten_validation,
+    latest_tasks,
+    merge_runs,
+    reduce_attempts,
+    upsert_runs,
+    upsert_tasks,
+)
+from evalspark.operators.validators import (
+    Rule,
+    Validation,
+    contains,
+    judge_outputs,
+    manual,
+    pending_review,
+    python,
+    validate_outputs,
+)
+from evalspark.plans.summaries import (
+    export_rows,
+    outcome_tally,
+    runs_per_model,
+    store_counts,
+    summary_by_model,
+    summary_by_task,
+    task_list,
+    task_tree,
+)
+from evalspark.sources.catalogue import DEFAULT_MODELS, model_catalogue
+from evalspark.sources.prompts import parse_errors, parse_prompts
+from evalspark.sources.tables import (
+    empty_tables,
+    initial_version,
+    read_table,
+    storage_size,
+    write_csv,
+    write_table,
+)
+from evalspark.sources.tree import TreeError, build_tasks, scan_problems, scan_tree, tree_problems
+from evalspark.streaming.ingest import current_runs, ingest_runs, read_attempts, read_log
+
+__all__ = [name for name in dir() if not name.startswith("_")]

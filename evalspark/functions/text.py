@@ -20,7 +20,7 @@ SHORT_ESCAPES = (
 )
 
 _PRINTABLE = r"^[ -~]*\z"
-_RUN_EDGE = r"(?<=[ -~])(?=[^ -~])|(?<=[^ -~])(?=[ -~])"
+_RUNS = "[ -~]+|[^ -~]+"
 
 
 def strip(text: Column) -> Column:
@@ -43,14 +43,14 @@ def short_escapes(text: Column) -> Column:
 def unicode_escapes(text: Column) -> Column:
     """Write what is left outside printable ASCII as ``\\uXXXX``, in UTF-16 units.
 
-    Works on runs, not on characters: the text is cut where it changes between printable
-    ASCII and the rest, and a whole run is turned into hex digits at once. Text without any
-    such run takes the first branch.
+    Works on runs, not on characters: the text is cut into stretches of printable ASCII and
+    of anything else, and a whole stretch is turned into hex digits at once. Text without
+    anything else takes the first branch.
     """
-    runs = F.split(text, _RUN_EDGE, -1)
+    runs = F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
     written = F.transform(
         runs,
-        lambda run: F.when(run.rlike(r"^[ -~]"), run).otherwise(
+        lambda run: F.when(F.ascii(run).between(32, 126), run).otherwise(
             F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
         ),
     )

@@ -69,7 +69,8 @@ def apply_grades(
     """
     allowed = F.coalesce(F.col("score").isin(*SCORES), F.lit(False))
     if strict:
-        failure = F.raise_error(F.concat(F.lit("no such score: "), F.col("score").cast("string")))
+        given = F.coalesce(F.col("score").cast("string"), F.lit("none"))
+        failure = F.raise_error(F.concat(F.lit("no such score: "), given)).cast("double")
         grades = grades.withColumn("score", F.when(allowed, F.col("score")).otherwise(failure))
     else:
         grades = grades.filter(allowed)

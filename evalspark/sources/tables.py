@@ -55,16 +55,21 @@ def write_table(table: DataFrame, path: str, name: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Write rows as CSV with a header; quotes are doubled, NULL is empty, ``''`` is quoted."""
-    rows.write.mode("errorifexists").csv(
-        path,
-        header=True,
-        sep=",",
-        quote='"',
-        escape='"',
-        emptyValue='""',
-        nullValue="",
-        timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    """Write rows as CSV with a header; quotes are doubled, NULL is empty, ``''`` is quoted.
+
+    Time stamps are written as their SQL text, that is, without trailing zeros. One file per
+    partition, in the order of the rows.
+    """
+    plain = rows.select(
+        *[
+            F.col(field.name).cast("string").alias(field.name)
+            if isinstance(field.dataType, T.TimestampNTZType)
+            else F.col(field.name)
+            for field in rows.schema.fields
+        ]
+    )
+    plain.write.mode("errorifexists").csv(
+        path, header=True, sep=",", quote='"', escape='"', emptyValue='""', nullValue=""
     )
 
 

@@ -1,8 +1,8 @@
 """Task trees: directories with a prompt document each, leaves with messages.
 
 The functions work on tables with a ``directory`` column (relative, ``a/b/c``), so a tree can
-be read from files or come from any table. Limits of a file listing: a directory without any
-file below it, and names that start with ``_``, are not seen.
+be read from files or come from any table. Limits of a file listing: directories without any
+file below them, files of length zero, and names that start with ``_`` are not seen.
 """
 
 from __future__ import annotations
