@@ -9,7 +9,8 @@ anything is shuffled. The batch then meets the table in two joins:
 
 Unlike one full outer join, both can become broadcast joins when the batch turns out to be
 small, so that a small batch never shuffles a large table. For a large batch the second join
-costs one more pass over the table's key column only.
+costs one more pass over the table's key column only; the reduced batch is shuffled once and
+read by both joins.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.columns import compute_once
 from evalspark.functions.identity import execution_id
 from evalspark.schemas import TASK_RUNS, TASKS, conform
 
@@ -48,8 +50,14 @@ def _order(columns: Sequence[str | Column]) -> Column:
 
 
 def _merge(table: DataFrame, batch: DataFrame, key: str, replaced: Sequence[str]) -> DataFrame:
-    """Replace columns of the rows whose key is in the batch, and add the rows with new keys."""
+    """Replace columns of the rows whose key is in the batch, and add the rows with new keys.
+
+    Both joins take the batch with all its columns, behind a step that is not pruned: the two
+    then have the same plan below them, and Spark shuffles the batch only once.
+    """
     columns = table.columns
+    values = [name for name in columns if name != key]
+    batch = compute_once(batch.select(*columns), {name: F.col(name) for name in values}, drop=tuple(values))
     incoming = batch.select(
         F.col(key).alias("_key"), *[F.col(name).alias(f"_{name}") for name in replaced]
     )
@@ -69,7 +77,7 @@ def latest_tasks(tasks: DataFrame, order_by: Sequence[str | Column] = ()) -> Dat
     """One row per task id, the last one in the given order (by default: path, part by part)."""
     order = _order(order_by or [F.split("path", "/")])
     values = F.struct("id_chain", "display_name", "path", "messages_hash")
-    last = tasks.groupBy("task_id").agg(F.max_by(values, order).alias("last"))
+    last = tasks.filter(F.col("task_id").isNotNull()).groupBy("task_id").agg(F.max_by(values, order).alias("last"))
     return last.select("task_id", "last.*")
 
 
@@ -121,11 +129,13 @@ def json_or_null(text: Column) -> Column:
 def reduce_attempts(attempts: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     """One row per execution: values of the last attempt, ``created_at`` of the first.
 
-    ``attempts`` has the run columns except ``execution_id``. The output is a column of its
-    own in the aggregation, so it is not read where the caller does not ask for it.
+    ``attempts`` has the run columns except ``execution_id``; a record without task or model
+    is no run of anything and has no key. The output is a column of its own in the
+    aggregation, so it is not read where the caller does not ask for it.
     """
     order = _order(order_by)
-    keyed = attempts.withColumn("execution_id", execution_id(F.col("task_id"), F.col("model")))
+    key = execution_id(F.col("task_id"), F.col("model"))
+    keyed = compute_once(attempts, {"execution_id": key}).filter(F.col("execution_id").isNotNull())
     reduced = keyed.groupBy("execution_id").agg(
         F.min_by(F.struct(*KEPT), order).alias("first"),
         F.max_by(F.struct(*REPLACED), order).alias("last"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -37,3 +37,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         raise ValueError(f"{CHECKPOINT_SETTING} is not set; pass an explicit shared path")
     return f"{root.rstrip('/')}/{name}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write a DataFrame that is used several times to the checkpoint folder, if there is one.
+
+    The copy is on shared storage, so it survives lost executors. Without a checkpoint folder
+    the DataFrame is returned as it is, and is computed once per use.
+    """
+    return df.checkpoint() if df.sparkSession.conf.get(CHECKPOINT_SETTING, None) else df

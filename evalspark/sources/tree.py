@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.identity import with_identity
+from evalspark.session import materialized
 from evalspark.sources.prompts import parse_prompts
 
 DESCRIPTION_FILE = "description.md"
@@ -58,16 +59,17 @@ def _visible(directory: Column) -> Column:
     return ~F.exists(_parts(directory), lambda part: part.startswith("."))
 
 
-def _ancestors(directory: Column) -> Column:
-    """The proper ancestors of a directory, outermost first, with their depth."""
+def _prefixes(directory: Column, with_self: bool) -> Column:
+    """The ancestors of a directory, outermost first, with their depth; maybe also itself."""
     parts = _parts(directory)
+    last = F.size(parts) if with_self else F.size(parts) - 1
     return F.when(
-        F.size(parts) > 1,
+        last > 0,
         F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
+            F.sequence(F.lit(1), last),
             lambda depth: F.struct(
                 depth.alias("depth"),
-                F.array_join(F.slice(parts, F.lit(1), depth), "/").alias("ancestor"),
+                F.array_join(F.slice(parts, F.lit(1), depth), "/").alias("node"),
             ),
         ),
     )
@@ -92,9 +94,8 @@ def list_directories(files: DataFrame) -> DataFrame:
     own = files.select(_directory_of(F.col("path")).alias("directory")).filter(
         (F.col("directory") != "") & _visible(F.col("directory"))
     )
-    own = own.distinct()
-    above = own.select(F.explode(_ancestors(F.col("directory"))).alias("step"))
-    return own.union(above.select("step.ancestor")).distinct()
+    steps = own.select(F.explode(_prefixes(F.col("directory"), with_self=True)).alias("step"))
+    return steps.select(F.col("step.node").alias("directory")).distinct()
 
 
 def validator_directories(files: DataFrame) -> DataFrame:
@@ -130,13 +131,14 @@ def leaf_chains(prompts: DataFrame) -> DataFrame:
     is_leaf = F.size("messages") > 0
     nodes = prompts.select("directory", "id", F.coalesce(is_leaf, F.lit(False)).alias("is_leaf"))
     leaves = nodes.filter("is_leaf").select("directory", "id")
-    steps = leaves.select("directory", "id", F.explode_outer(_ancestors(F.col("directory"))).alias("step"))
+    ancestors = _prefixes(F.col("directory"), with_self=False)
+    steps = leaves.select("directory", "id", F.explode_outer(ancestors).alias("step"))
     above = nodes.select(
-        F.col("directory").alias("ancestor"),
+        F.col("directory").alias("node"),
         F.col("id").alias("ancestor_id"),
         F.col("is_leaf").alias("ancestor_is_leaf"),
     )
-    joined = steps.select("directory", "id", "step.depth", "step.ancestor").join(above, "ancestor", "left")
+    joined = steps.select("directory", "id", "step.depth", "step.node").join(above, "node", "left")
     chains = joined.groupBy("directory", "id").agg(
         F.sort_array(F.collect_list(F.struct("depth", "ancestor_id"))).alias("steps"),
         F.bool_or("ancestor_is_leaf").alias("below_leaf"),
@@ -175,52 +177,63 @@ def build_tasks(
 
 
 def tree_problems(prompts: DataFrame, directories: DataFrame) -> DataFrame:
-    """(directory, kind): what is wrong with a tree. Nothing below a leaf is looked at."""
-    leaves = prompts.filter(F.size("messages") > 0).select(F.col("directory").alias("ancestor"))
-    steps = directories.select("directory", F.explode(_ancestors(F.col("directory"))).alias("step"))
-    below_leaf = steps.select("directory", "step.ancestor").join(leaves, "ancestor", "left_semi")
-    parents = directories.select(_directory_of(F.col("directory")).alias("directory")).distinct()
+    """(directory, kind): what is wrong with a tree. Nothing below a leaf is looked at.
 
+    Every directory meets the prompts of its ancestors and its own in one join; one grouping
+    then tells what it is. Only containers are looked up among the parents.
+    """
     states = prompts.select(
-        "directory",
-        F.lit(True).alias("described"),
-        "parse_error",
-        (F.size("messages") == 0).alias("is_container"),
+        F.col("directory").alias("node"),
+        F.coalesce(F.size("messages") > 0, F.lit(False)).alias("is_leaf"),
+        F.coalesce("parse_error", F.when(F.size("messages") == 0, NO_SUBDIRECTORIES)).alias("finding"),
+    )
+    steps = directories.select(
+        "directory", F.explode(_prefixes(F.col("directory"), with_self=True)).alias("step")
     )
-    seen = (
-        directories.join(below_leaf.select("directory").distinct(), "directory", "left_anti")
-        .join(states, "directory", "left")
-        .join(parents.withColumn("has_children", F.lit(True)), "directory", "left")
+    joined = steps.select("directory", "step.node").join(states, "node", "left")
+    is_self = F.col("node") == F.col("directory")
+    found = joined.groupBy("directory").agg(
+        F.bool_or(~is_self & F.col("is_leaf")).alias("below_leaf"),
+        F.bool_or(is_self & F.col("is_leaf").isNotNull()).alias("described"),
+        F.max(F.when(is_self, F.col("finding"))).alias("finding"),
     )
-    kind = (
-        F.when(F.col("described").isNull(), MISSING_DESCRIPTION)
-        .when(F.col("parse_error").isNotNull(), F.col("parse_error"))
-        .when(F.col("is_container") & F.col("has_children").isNull(), NO_SUBDIRECTORIES)
+    kind = F.when(~F.col("described"), MISSING_DESCRIPTION).otherwise(F.col("finding"))
+    problems = (
+        found.filter(~F.coalesce("below_leaf", F.lit(False)))
+        .select("directory", kind.alias("kind"))
+        .filter(F.col("kind").isNotNull())
     )
-    return seen.select("directory", kind.alias("kind")).filter("kind IS NOT NULL")
+    parents = directories.select(
+        _directory_of(F.col("directory")).alias("directory"), F.lit(NO_SUBDIRECTORIES).alias("kind")
+    )
+    return problems.join(parents, ["directory", "kind"], "left_anti")
 
 
 def scan_problems(spark: SparkSession, root: str) -> DataFrame:
     """(directory, kind) for a tree of files."""
-    files = list_files(spark, root)
+    return _scan_problems(list_files(spark, root), read_prompts(spark, root))
+
+
+def _scan_problems(files: DataFrame, prompts: DataFrame) -> DataFrame:
     wrong_root = files.filter(F.col("path") == "").select(
         F.lit("").alias("directory"), F.lit(NOT_A_DIRECTORY).alias("kind")
     )
-    found = tree_problems(read_prompts(spark, root), list_directories(files))
-    return found.union(wrong_root)
+    return tree_problems(prompts, list_directories(files)).union(wrong_root)
 
 
 def scan_tree(spark: SparkSession, root: str, strict: bool = True, ordered: bool = True) -> DataFrame:
     """The task table of a tree of files.
 
-    ``strict`` looks for failures first (one small job, stopping at the first one found) and
-    raises TreeError; otherwise unreadable parts of the tree are left out.
+    ``strict`` looks for failures first (one job, of which only the first one is kept) and
+    raises TreeError; otherwise unreadable parts of the tree are left out. The documents are
+    small files and slow to read, so they are read and parsed once where the cluster has a
+    checkpoint folder.
     """
+    files = list_files(spark, root)
+    prompts = materialized(read_prompts(spark, root))
     if strict:
-        failures = scan_problems(spark, root).filter(F.col("kind") != NO_SUBDIRECTORIES)
+        failures = _scan_problems(files, prompts).filter(F.col("kind") != NO_SUBDIRECTORIES)
         first = failures.orderBy(_parts(F.col("directory"))).limit(1).collect()
         if first:
             raise TreeError(f"{first[0]['kind']}: {root}/{first[0]['directory']}".rstrip("/"))
-    return build_tasks(
-        read_prompts(spark, root), validator_directories(list_files(spark, root)), root, ordered
-    )
+    return build_tasks(prompts, validator_directories(files), root, ordered)

@@ -69,10 +69,19 @@ def ingest_runs(
     return writer.start()
 
 
-def read_log(spark: SparkSession, log: str) -> DataFrame:
-    """The log, one row per execution: the last batch has the values, the first the time stamp."""
+def read_log(
+    spark: SparkSession, log: str, after: int | None = None, through: int | None = None
+) -> DataFrame:
+    """The log, one row per execution: the last batch has the values, the first the time stamp.
+
+    ``after`` and ``through`` bound the batches; other partitions are not read.
+    """
     schema = T.StructType([*TASK_RUNS.fields, T.StructField(BATCH, T.LongType())])
     rows = spark.read.schema(schema).parquet(log)
+    if after is not None:
+        rows = rows.filter(F.col(BATCH) > after)
+    if through is not None:
+        rows = rows.filter(F.col(BATCH) <= through)
     reduced = rows.groupBy("execution_id").agg(
         F.min_by(F.struct(*KEPT), BATCH).alias("first"),
         F.max_by(F.struct(*REPLACED), BATCH).alias("last"),
@@ -81,6 +90,12 @@ def read_log(spark: SparkSession, log: str) -> DataFrame:
     return reduced.select("execution_id", "first.*", "last.*", "output").select(*TASK_RUNS.fieldNames())
 
 
-def current_runs(base: DataFrame, log: str) -> DataFrame:
-    """The run table as of now: the base with the log on top."""
-    return merge_runs(base, read_log(base.sparkSession, log))
+def current_runs(
+    base: DataFrame, log: str, after: int | None = None, through: int | None = None
+) -> DataFrame:
+    """The run table as of now: the base with the log on top of it.
+
+    To keep the log short, write ``current_runs(base, log, after, through=n)`` to a fresh path
+    from time to time; it is the new base for ``after=n``, and older batches can be dropped.
+    """
+    return merge_runs(base, read_log(base.sparkSession, log, after, through))

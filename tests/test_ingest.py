@@ -68,3 +68,13 @@ def test_the_log_lies_on_top_of_a_base(spark, make_attempts, make_runs, tmp_path
     assert rows_of(found) == rows_of(merge_runs(base, read_log(spark, log)))
     assert found.count() == 5
     assert rows_of(found.filter("task_id = 't'"), "output", "created_at") == [("four", datetime(2024, 5, 1))]
+
+
+def test_folding_part_of_the_log_into_a_new_base(spark, make_attempts, make_runs, tmp_path):
+    log = str(tmp_path / "log")
+    base = make_runs({"task_id": "t", "model": "m", "output": "base"})
+    for number, batch in enumerate(batches(make_attempts)):
+        write_batch(batch, number, log, ["at"])
+    folded = current_runs(base, log, through=1)
+    assert rows_of(current_runs(folded, log, after=1)) == rows_of(current_runs(base, log))
+    assert read_log(spark, log, after=1).count() == 2

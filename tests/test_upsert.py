@@ -167,6 +167,21 @@ def test_a_small_batch_does_not_shuffle_the_table(spark, make_attempts, tmp_path
     assert "LeftOuter" in plan and "LeftAnti" in plan
 
 
+def test_a_large_batch_is_shuffled_once(spark, make_attempts, make_runs):
+    """Without broadcasts, the second join reuses the shuffle of the reduced batch."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = make_runs({"task_id": "t", "model": "m"}, {"task_id": "u", "model": "m"})
+        merged = upsert_runs(table, make_attempts({"task_id": "t", "model": "m"}), ["at"])
+        assert merged.count() == 2
+        merged.write.format("noop").mode("overwrite").save()
+        rows = upsert_runs(table, make_attempts({"task_id": "t", "model": "m"}), ["at"])
+        rows.collect()
+        assert "ReusedExchange" in plan_of(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_output_is_not_read_unless_asked_for(make_attempts):
     attempts = make_attempts({"task_id": "t", "model": "m"})
     plan = optimized_plan_of(reduce_attempts(attempts, ["at"]).select("execution_id", "duration_ms"))
