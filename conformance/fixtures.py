@@ -25,6 +25,15 @@ RUBRIC = "Is the answer right?"
 ATTEMPT_ORDER = ("created_at", "event_id")
 
 
+# Schemas of the given tables that are used.
+GIVEN = {
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
 def model_name(index: int) -> str:
     return f"prov{index % 3}/org{index % 4}/{'Model_' if index % 2 else 'model-'}{index}"
 
@@ -47,7 +56,8 @@ class Fixtures:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table; stating its schema saves a job that would read it from the files."""
+        return self.spark.read.schema(GIVEN[name]).parquet(f"{self.folder}/{name}.parquet")
 
     # -- tasks ---------------------------------------------------------------------------
 

@@ -83,6 +83,7 @@ from evalspark.plans.summaries import (
     task_list,
     task_tree,
 )
+from evalspark.plans.workflows import plan_prune, plan_runs, results
 from evalspark.sources.catalogue import DEFAULT_MODELS, model_catalogue
 from evalspark.sources.prompts import parse_errors, parse_prompts
 from evalspark.sources.tables import (
