@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,3 +20,8 @@ def compute_once(df: DataFrame, columns: dict[str, Column], drop: tuple[str, ...
     record = F.struct(*[column.alias(name) for name, column in columns.items()])
     kept = [name for name in df.columns if name not in drop]
     return df.select(*kept, F.inline(F.array(record)))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]

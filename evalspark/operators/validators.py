@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.functions.columns import bind
 from evalspark.functions.globs import matches
 from evalspark.schemas import VALIDATION
 
@@ -78,15 +79,10 @@ def contains(expected: str, reason: str | None = None) -> Validator:
     """Pass with 1.0 when the output contains a text, fail with 0.0 and a reason otherwise."""
     why = f"Missing {expected!r}" if reason is None else reason
 
-    def check(output: Column) -> Column:
-        found = output.contains(expected)
-        return outcome(
-            found,
-            F.when(found, F.lit(1.0)).otherwise(F.lit(0.0)),
-            F.when(~found, F.lit(why)),
-        )
+    def result(found: Column) -> Column:
+        return outcome(found, F.when(found, 1.0).otherwise(0.0), F.when(~found, why))
 
-    return check
+    return lambda output: bind(output.contains(expected), result)
 
 
 def manual(rubric: str | None = None) -> Validator:
@@ -160,7 +156,7 @@ def validate_outputs(outputs: DataFrame, tasks: DataFrame, rules: Sequence[Rule]
         *others,
         "output",
         F.coalesce("error", F.col("_outcome.failure")).alias("error"),
-        F.when(F.col("_outcome").isNotNull(), F.struct(*[F.col("_outcome")[name].alias(name) for name in VALIDATION.fieldNames()])).alias("validation"),
+        F.col("_outcome").dropFields("failure").alias("validation"),
     )
 
 

@@ -45,4 +45,10 @@ def materialized(df: DataFrame) -> DataFrame:
     The copy is on shared storage, so it survives lost executors. Without a checkpoint folder
     the DataFrame is returned as it is, and is computed once per use.
     """
-    return df.checkpoint() if df.sparkSession.conf.get(CHECKPOINT_SETTING, None) else df
+    spark = df.sparkSession
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    if not folder:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.columns import compute_once
 from evalspark.functions.text import strip, unix_lines
-from evalspark.schemas import ROLES
+from evalspark.schemas import known_roles
 
 FENCE = "---\n"
 SECTION = "\n# "
@@ -121,8 +121,8 @@ def parse_prompts(prompts: DataFrame, text: str = "text", strict: bool = False)
     others = [name for name in prompts.columns if name != text]
     documents = read_ids(split_documents(prompts, text))
     cut = compute_once(documents, {"_messages": body_messages(F.col("_body"))}, drop=("_body",))
-    bad_header = F.exists("_messages", lambda m: ~m["role"].isin(*ROLES))
-    problem = F.coalesce(F.col("_reason"), F.when(bad_header, UNKNOWN_HEADER))
+    bad_header = F.when(~known_roles(F.col("_messages")), UNKNOWN_HEADER)
+    problem = F.coalesce(F.col("_reason"), bad_header)
     parsed = compute_once(cut, {"parse_error": problem}, drop=("_reason",))
     if strict:
         failure = F.raise_error(F.concat(F.lit("cannot parse a prompt: "), F.col("parse_error")))

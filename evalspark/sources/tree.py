@@ -33,8 +33,8 @@ class TreeError(ValueError):
 
 def _root_path(root: str) -> str:
     """The path part of a root: scheme and authority are removed, local paths made absolute."""
-    remote = re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(/.*)$", root)
-    path = remote.group(1) if remote else os.path.abspath(root)
+    remote = re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(/.*)?$", root)
+    path = (remote.group(1) or "") if remote else os.path.abspath(root)
     return path.rstrip("/")
 
 
