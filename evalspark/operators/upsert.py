@@ -26,6 +26,7 @@ from evalspark.schemas import TASK_RUNS, TASKS, conform
 
 # What a repeated run replaces, and what it keeps from the first time.
 REPLACED = (
+    "output",
     "duration_ms",
     "error",
     "validation_passed",
@@ -130,8 +131,8 @@ def reduce_attempts(attempts: DataFrame, order_by: Sequence[str | Column]) -> Da
     """One row per execution: values of the last attempt, ``created_at`` of the first.
 
     ``attempts`` has the run columns except ``execution_id``; a record without task or model
-    is no run of anything and has no key. The output is a column of its own in the
-    aggregation, so it is not read where the caller does not ask for it.
+    is no run of anything and has no key. One aggregate carries all the values, as comparing
+    the order once per record is what this costs.
     """
     order = _order(order_by)
     key = execution_id(F.col("task_id"), F.col("model"))
@@ -139,14 +140,13 @@ def reduce_attempts(attempts: DataFrame, order_by: Sequence[str | Column]) -> Da
     reduced = keyed.groupBy("execution_id").agg(
         F.min_by(F.struct(*KEPT), order).alias("first"),
         F.max_by(F.struct(*REPLACED), order).alias("last"),
-        F.max_by("output", order).alias("output"),
     )
-    return reduced.select("execution_id", "first.*", "last.*", "output").select(*TASK_RUNS.fieldNames())
+    return reduced.select("execution_id", "first.*", "last.*").select(*TASK_RUNS.fieldNames())
 
 
 def merge_runs(table: DataFrame, batch: DataFrame) -> DataFrame:
     """Merge rows that are already one per execution into a run table."""
-    return _merge(conform(table, TASK_RUNS), batch, "execution_id", ("output", *REPLACED))
+    return _merge(conform(table, TASK_RUNS), batch, "execution_id", REPLACED)
 
 
 def upsert_runs(table: DataFrame, attempts: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:

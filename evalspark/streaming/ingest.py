@@ -74,7 +74,8 @@ def read_log(
 ) -> DataFrame:
     """The log, one row per execution: the last batch has the values, the first the time stamp.
 
-    ``after`` and ``through`` bound the batches; other partitions are not read.
+    ``after`` and ``through`` bound the batches; other partitions are not read. The output is an
+    aggregate of its own, so a report on the log does not read it.
     """
     schema = T.StructType([*TASK_RUNS.fields, T.StructField(BATCH, T.LongType())])
     rows = spark.read.schema(schema).parquet(log)
@@ -84,7 +85,7 @@ def read_log(
         rows = rows.filter(F.col(BATCH) <= through)
     reduced = rows.groupBy("execution_id").agg(
         F.min_by(F.struct(*KEPT), BATCH).alias("first"),
-        F.max_by(F.struct(*REPLACED), BATCH).alias("last"),
+        F.max_by(F.struct(*[name for name in REPLACED if name != "output"]), BATCH).alias("last"),
         F.max_by("output", BATCH).alias("output"),
     )
     return reduced.select("execution_id", "first.*", "last.*", "output").select(*TASK_RUNS.fieldNames())

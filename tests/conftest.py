@@ -87,6 +87,3 @@ def rows_of(df, *columns):
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
-
-def optimized_plan_of(df) -> str:
-    return df._jdf.queryExecution().optimizedPlan().toString()

@@ -13,7 +13,7 @@ from evalspark.streaming.ingest import (
     read_log,
     write_batch,
 )
-from tests.conftest import rows_of
+from tests.conftest import plan_of, rows_of
 
 SCHEMA = attempt_schema(T.StructField("at", T.IntegerType()))
 
@@ -48,6 +48,8 @@ def test_stream_equals_upserts_of_the_same_batches(spark, make_attempts, tmp_pat
         expected = upsert_runs(expected, batch, ["at"])
         assert rows_of(read_log(spark, log)) == rows_of(expected)
     assert read_log(spark, log).count() == 4
+    report = plan_of(read_log(spark, log).groupBy("model").avg("duration_ms"))
+    assert "duration_ms" in report and "output:string" not in report
 
 
 def test_a_replayed_batch_changes_nothing(spark, make_attempts, tmp_path):

@@ -16,7 +16,7 @@ from evalspark.operators.upsert import (
 )
 from evalspark.schemas import TASK_RUNS, TASKS, VALIDATION, SchemaError
 from evalspark.sources.tables import empty_table
-from tests.conftest import DAY, MESSAGE_PAIR, optimized_plan_of, plan_of, rows_of
+from tests.conftest import DAY, MESSAGE_PAIR, plan_of, rows_of
 
 LATER = datetime(2024, 6, 1)
 
@@ -182,10 +182,26 @@ def test_a_large_batch_is_shuffled_once(spark, make_attempts, make_runs):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_output_is_not_read_unless_asked_for(make_attempts):
-    attempts = make_attempts({"task_id": "t", "model": "m"})
-    plan = optimized_plan_of(reduce_attempts(attempts, ["at"]).select("execution_id", "duration_ms"))
-    assert "max_by(output" not in plan
+def test_a_hot_key_is_combined_before_the_shuffle(spark, make_attempts):
+    """A third of the attempts is one execution; it is reduced where it is read."""
+    attempts = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('t', id)) AS task_id", "'h' AS messages_hash", "'m' AS model",
+        "string(id) AS output", "1D AS duration_ms", "CAST(NULL AS STRING) AS error",
+        "CAST(NULL AS BOOLEAN) AS validation_passed", "CAST(NULL AS DOUBLE) AS validation_score",
+        "CAST(NULL AS STRING) AS validation_reason", "CAST(NULL AS STRING) AS validation_metadata",
+        "false AS validation_pending", "CAST(NULL AS STRING) AS validation_rubric",
+        "CAST(NULL AS STRING) AS run_config", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS created_at", "int(id) AS at",
+    )
+    reduced = reduce_attempts(attempts, ["at"])
+    plan = plan_of(reduced)
+    assert plan.index("Exchange") < plan.index("partial_max_by")
+    assert reduced.count() == 2001
+    assert rows_of(reduced.filter("task_id = 'hot'"), "output") == [("2997",)]
+
+
+def test_records_without_a_key_are_no_runs(make_attempts):
+    attempts = make_attempts({"task_id": None, "model": "m"}, {"task_id": "t", "model": None}, {"task_id": "t", "model": "m"})
+    assert reduce_attempts(attempts, ["at"]).count() == 1
 
 
 def test_execution_ids_of_runs(make_runs):
