@@ -308,4 +308,23 @@ _QUERIES = {
       FROM fx_runs""",
 }
 
-ORACLE = {name: f"{_VIEWS}{text}" for name, text in _QUERIES.items()}
+# Results with a three-valued flag show it as text.
+_THREE_STATES = "SELECT * REPLACE (CAST(validation_passed AS VARCHAR) AS validation_passed) FROM"
+_FLAGGED = (
+    "upsert_runs",
+    "migrate_old_runs",
+    "task_runs_by_model_eq",
+    "task_runs_by_task_eq",
+    "runs_display",
+    "runs_display_filtered",
+    "export_rows",
+    "apply_grades",
+    "validate_contains",
+    "validate_manual",
+    "validate_judge",
+)
+
+ORACLE = {
+    name: f"{_VIEWS}{_THREE_STATES} ({text})" if name in _FLAGGED else f"{_VIEWS}{text}"
+    for name, text in _QUERIES.items()
+}

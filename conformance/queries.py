@@ -1,6 +1,7 @@
 """The registered queries: every operator of the library over the fixture views.
 
-Arrays are shown as text and time stamps as strings, so that both engines give plain values.
+Arrays, time stamps and three-valued flags are shown as text, so that both engines give plain
+values however they are fetched.
 Averages need no rounding: scores and durations are such that their sums are exact.
 """
 
@@ -32,10 +33,18 @@ GRADE_MODEL_TEXT = "ORG1/model_"  # here it is plain text
 
 
 def query(build: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, folder: build(Fixtures(spark, folder))
+    """Register a query under the name of its function."""
+    QUERIES[build.__name__] = lambda spark, folder: three_states(build(Fixtures(spark, folder)))
     return build
 
 
+def three_states(rows: DataFrame) -> DataFrame:
+    """``validation_passed`` as text: true, false or NULL."""
+    if "validation_passed" not in rows.columns:
+        return rows
+    return rows.withColumn("validation_passed", F.col("validation_passed").cast("string"))
+
+
 def time_text(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
 
