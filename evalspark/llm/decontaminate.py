@@ -13,7 +13,7 @@ have any other columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import compute_once
@@ -86,40 +86,34 @@ def window_hits(docs: DataFrame, grams: DataFrame, set_limit: int = SET_LIMIT) -
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated.
 
-    ``items`` are the sorted item ids as text, ``spans`` the (start, end) of hit runs in words,
-    from 1, end exclusive. A document's own hits are one row each and are combined before they
-    are shuffled; they are bounded by its words.
+    ``items`` are the sorted item ids as text, ``spans`` the sorted (at, end) of the hit windows in
+    words, from 1, end exclusive. A document's own hits are combined before they are shuffled;
+    they are bounded by its words.
     """
     grams = stored(benchmark_windows(benchmark, window), "benchmark")
     hits = window_hits(docs, grams, set_limit)
-    spans = F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", (F.col("at") + F.col("size")).alias("end")))))
+    span = F.struct("at", (F.col("at") + F.col("size")).alias("end"))
     found = hits.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-        spans.alias("starts"),
+        F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), span))).alias("spans"),
     )
-    found = compute_once(found, {"spans": merged(F.col("starts"))}, ("starts",))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["at"])
-    found = compute_once(found, {"n_hit": n_hit})
+    found = compute_once(found, {"n_hit": covered(F.col("spans"))})
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans",
         ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def merged(spans: Column) -> Column:
-    """Sorted (at, end) spans with what overlaps or touches joined, in one pass."""
-    kind = "array<struct<at:int,end:int>>"
+def covered(spans: Column) -> Column:
+    """How many words sorted (at, end) spans cover."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("end"))
 
     def add(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["at"].alias("at"), F.greatest(last["end"], span["end"]).alias("end"))
-        return F.when(
-            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= span["at"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined)),
-        ).otherwise(F.concat(done, F.array(span)))
-
-    return F.aggregate(spans, F.array().cast(kind), lambda done, span: add(done, span).cast(kind))
+        new = F.greatest(F.lit(0), span["end"] - F.greatest(done["end"], span["at"]))
+        return F.struct((done["total"] + new).alias("total"), F.greatest(done["end"], span["end"]).alias("end"))
+
+    return F.aggregate(spans, start, add, lambda done: done["total"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from evalspark.llm.decontaminate import op4_benchmark_decontamination
+from evalspark.llm.quality import op9_quality_rules
+from evalspark.llm.secret_scan import op10_secret_scan
 from evalspark.llm.simhash import op7_simhash_near_dedup
 
 QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
