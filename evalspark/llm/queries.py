@@ -6,9 +6,11 @@ from evalspark.llm.decontaminate import op4_benchmark_decontamination
 from evalspark.llm.quality import op9_quality_rules
 from evalspark.llm.secret_scan import op10_secret_scan
 from evalspark.llm.simhash import op7_simhash_near_dedup
+from evalspark.llm.substrings import op6_substring_dedup
 
 QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
