@@ -7,11 +7,15 @@ from evalspark.llm.quality import op9_quality_rules
 from evalspark.llm.secret_scan import op10_secret_scan
 from evalspark.llm.simhash import op7_simhash_near_dedup
 from evalspark.llm.substrings import op6_substring_dedup
+from evalspark.llm.token_counts import op5_token_counts
+from evalspark.llm.token_files import op8_token_id_output
 
 QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_token_id_output": op8_token_id_output,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
