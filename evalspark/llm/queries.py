@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from evalspark.llm.decontaminate import op4_benchmark_decontamination
+from evalspark.llm.packing import op1_best_fit_packing
 from evalspark.llm.quality import op9_quality_rules
 from evalspark.llm.secret_scan import op10_secret_scan
 from evalspark.llm.simhash import op7_simhash_near_dedup
 from evalspark.llm.substrings import op6_substring_dedup
 from evalspark.llm.token_counts import op5_token_counts
 from evalspark.llm.token_files import op8_token_id_output
+from evalspark.llm.warc import op2_warc_derivatives
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
