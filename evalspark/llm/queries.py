@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evalspark.llm.decontaminate import op4_benchmark_decontamination
+from evalspark.llm.language_model import op3_ngram_trie_scores
 from evalspark.llm.packing import op1_best_fit_packing
 from evalspark.llm.quality import op9_quality_rules
 from evalspark.llm.secret_scan import op10_secret_scan
@@ -15,6 +16,7 @@ from evalspark.llm.warc import op2_warc_derivatives
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_derivatives": op2_warc_derivatives,
+    "op3_ngram_trie_scores": op3_ngram_trie_scores,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
