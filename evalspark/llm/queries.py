@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from evalspark.llm.decontaminate import op4_benchmark_decontamination
 from evalspark.llm.language_model import op3_ngram_trie_scores
 from evalspark.llm.packing import op1_best_fit_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_id_output": op8_token_id_output,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}

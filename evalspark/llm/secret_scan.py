@@ -221,13 +221,14 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced, all columns as they came; n_chars follows."""
-    found = scan(docs, F.struct(*[docs[name] for name in docs.columns]), rules=rules)
+    others = F.struct(*[docs[name] for name in docs.columns if name != "text"])
+    found = scan(docs, others, docs["text"].isNull(), rules=rules)
     hit = F.size("spans") > 0
-    clean = F.when(hit, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("kept0.text"))
-    found = compute_once(found.select("kept0", "spans", clean.alias("clean")), {"clean_text": F.col("clean")}, ("clean",))
-    columns = {name: F.col(f"kept0.`{name}`") for name in docs.columns} | {"text": F.col("clean_text")}
+    clean = F.when(hit, redacted(F.col("text"), F.col("spans"))).when(~F.col("kept1"), F.col("text"))
+    found = compute_once(found, {"clean": clean}, ("text",))
+    columns = {name: F.col("clean" if name == "text" else f"kept0.`{name}`") for name in docs.columns}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(hit, F.length("clean_text").cast("long")).otherwise(columns["n_chars"])
+        columns["n_chars"] = F.when(hit, F.length("clean").cast("long")).otherwise(columns["n_chars"])
     return found.select(*[column.alias(name) for name, column in columns.items()])
 
 

@@ -167,6 +167,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of every component, that of its smallest doc_id, all columns as they came.
+
+    Of repeated rows of one doc_id one stays. Rows without doc_id link others but stay themselves.
+    """
+    found = near_duplicates(docs, size).where(F.col("doc_id") == F.col("component_id"))
+    first = docs.join(found.select(F.col("doc_id").alias("first_id")), F.col("doc_id") == F.col("first_id"), "left_semi")
+    return first.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def hex64(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
