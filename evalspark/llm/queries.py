@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from evalspark.llm.decontaminate import op4_benchmark_decontamination
 from evalspark.llm.language_model import op3_ngram_trie_scores
+from evalspark.llm.oracle import ORACLE
 from evalspark.llm.packing import op1_best_fit_packing
 from evalspark.llm.quality import op9_quality_rules
 from evalspark.llm.secret_scan import op10_secret_scan
@@ -28,4 +29,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
