@@ -18,7 +18,7 @@ probabilities after a context sum to no more than one.
 
 A context that is frequent in all of the corpus would fill its shard. Words with at least one in
 ``HEAVY`` of the training tokens, so at most ``HEAVY`` of them, are counted first and their
-successors spread over all shards by hash. Shards are as many as keep each near ``SHARD_TOKENS``.
+successors spread over all shards by hash; how many each has is summed over the shards. Shards are as many as keep each near ``SHARD_TOKENS``.
 
 Words are told apart by 64-bit hashes. Null and empty texts are the end token alone; a null doc_id
 is the empty text. Repeated rows are scored each for itself.
@@ -162,6 +162,8 @@ class Pairs:
         home = (self.words % U64(shards)).astype(np.int64)
         at = np.minimum(np.searchsorted(heavy, self.words), max(0, len(heavy) - 1))
         is_heavy = heavy[at] == self.words if len(heavy) else np.zeros(len(self.words), bool)
+        #: the words that are heavy, and their places among those
+        self.heavy, self.heavy_at = np.flatnonzero(is_heavy), at[is_heavy]
         spread = ((self.words >> U64(20)) % U64(shards)).astype(np.int64)
         self.shard = np.where(is_heavy[self.context], spread[self.word], home[self.context])
         #: pairs and words by shard, in order of hashes within
@@ -280,17 +282,19 @@ def _model_and_answers(heavy: np.ndarray, heavy_counts: np.ndarray):
         data = build_trie(words, counts, contexts, context_counts, successors, keys, key_counts)
         trie = Trie(data)
         shard = table.column("shard")[0].as_py()
-        rows = [(shard, None, len(words), data)]
+        parts_of_heavy, _ = trie.pairs(heavy, np.zeros(len(heavy), np.int64), np.zeros(0, U64))
+        rows = [(shard, None, len(words), data, parts_of_heavy.tolist())]
         for number, part, of in zip(table.column("batch").to_pylist(), parts, pair_words, strict=True):
             distinct, codes = trie.pairs(part[2], part[3], of)
-            rows.append((shard, number, None, _zip(trie.count(part[0]).astype(np.int64), distinct.astype(np.uint32), codes)))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "batch", "n_words", "data"])
+            rows.append((shard, number, None, _zip(trie.count(part[0]).astype(np.int64), distinct.astype(np.uint32), codes), None))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        names = ["shard", "batch", "n_words", "data", "heavy"]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _score(kind: pa.DataType, heavy: np.ndarray, shards: int, n_train: int, vocabulary: int):
+def _score(kind: pa.DataType, heavy: np.ndarray, heavy_distinct: np.ndarray, shards: int, n_train: int, vocabulary: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def one(doc_ids: list, words: bytes, tokens: bytes, answers: list[dict]) -> pa.RecordBatch:
@@ -303,6 +307,7 @@ def _score(kind: pa.DataType, heavy: np.ndarray, shards: int, n_train: int, voca
             count[home] = counts
             np.add.at(distinct, np.unique(pairs.context[own]), successors.astype(np.int64))
             codes[own] = found
+        distinct[pairs.heavy] = heavy_distinct[pairs.heavy_at]
         base = (count + 0.5) / (n_train + 0.5 * (vocabulary + 1))
         seen = count[pairs.context]
         back = np.where(seen > 0, DISCOUNT * distinct[pairs.context] / np.maximum(seen, 1), 1.0)
@@ -338,15 +343,20 @@ def train_and_score(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heavy, heavy_counts = heavy_words(batches, n_train) if n_train else (np.zeros(0, U64), np.zeros(0, np.int64))
     sent = batches.select("batch", "words", "tokens").mapInArrow(_send(heavy, shards), "shard int, batch bigint, data binary")
     made = sent.groupBy("shard").applyInArrow(
-        _model_and_answers(heavy, heavy_counts), "shard int, batch bigint, n_words bigint, data binary"
+        _model_and_answers(heavy, heavy_counts), "shard int, batch bigint, n_words bigint, data binary, heavy array<bigint>"
     )
     made = stored(made, "model")
     model = made.where("batch IS NULL").select("shard", "n_words", "data")
+    # a number for each heavy word: its successors lie in all shards
+    parts = made.where("batch IS NULL").select(F.posexplode("heavy").alias("at", "n")).groupBy("at").agg(F.sum("n"))
+    heavy_distinct = np.zeros(len(heavy), np.int64)
+    for at, n in parts.collect():
+        heavy_distinct[at] = n
     vocabulary = int(model.agg(F.sum("n_words")).first()[0] or 0)
     answers = made.where("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("shard", "data")).alias("answers"))
     whole = batches.select("batch", "doc_ids", "words", "tokens").join(answers, "batch")
     scores = whole.select("doc_ids", "words", "tokens", "answers").mapInArrow(
-        _score(arrow_kind, heavy, shards, n_train, vocabulary),
+        _score(arrow_kind, heavy, heavy_distinct, shards, n_train, vocabulary),
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
     return scores, model
