@@ -144,8 +144,8 @@ def verdicts(measured: DataFrame, cuts: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, all columns as they came; texts are measured where they lie."""
     cuts = thresholds(stored(features(docs), "features"), labels)
-    whole = features(docs, F.struct(*[docs[name] for name in docs.columns]))
-    return verdicts(whole, cuts).where("kept").select("kept0.*")
+    whole = verdicts(features(docs, *[docs[name] for name in docs.columns]), cuts).where("kept")
+    return whole.select(*[F.col(f"kept{at}").alias(name) for at, name in enumerate(docs.columns)])
 
 
 def op9_quality_rules(spark, folder: str) -> DataFrame:

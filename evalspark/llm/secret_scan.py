@@ -221,15 +221,15 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced, all columns as they came; n_chars follows."""
-    others = F.struct(*[docs[name] for name in docs.columns if name != "text"])
-    found = scan(docs, others, docs["text"].isNull(), rules=rules)
+    others = [name for name in docs.columns if name != "text"]
+    found = scan(docs, docs["text"].isNull(), *[docs[name] for name in others], rules=rules)
     hit = F.size("spans") > 0
-    clean = F.when(hit, redacted(F.col("text"), F.col("spans"))).when(~F.col("kept1"), F.col("text"))
+    clean = F.when(hit, redacted(F.col("text"), F.col("spans"))).when(~F.col("kept0"), F.col("text"))
     found = compute_once(found, {"clean": clean}, ("text",))
-    columns = {name: F.col("clean" if name == "text" else f"kept0.`{name}`") for name in docs.columns}
+    columns = {name: F.col(f"kept{at}") for at, name in enumerate(others, 1)} | {"text": F.col("clean")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(hit, F.length("clean").cast("long")).otherwise(columns["n_chars"])
-    return found.select(*[column.alias(name) for name, column in columns.items()])
+    return found.select(*[columns[name].alias(name) for name in docs.columns])
 
 
 def _named(spans: Column, rules: tuple[Rule, ...]) -> Column:
