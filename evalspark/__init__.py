@@ -65,11 +65,9 @@ from evalspark.operators.upsert import (
 )
 from evalspark.operators.validators import (
     Rule,
-    Validation,
     contains,
     judge_outputs,
     manual,
-    pending_review,
     python,
     validate_outputs,
 )
@@ -95,6 +93,6 @@ from evalspark.sources.tables import (
     write_table,
 )
 from evalspark.sources.tree import TreeError, build_tasks, scan_problems, scan_tree, tree_problems
-from evalspark.streaming.ingest import current_runs, ingest_runs, read_attempts, read_log
+from evalspark.streaming.ingest import current_runs, ingest_runs, log_position, read_attempts, read_log
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -53,8 +53,9 @@ def _order(columns: Sequence[str | Column]) -> Column:
 def _merge(table: DataFrame, batch: DataFrame, key: str, replaced: Sequence[str]) -> DataFrame:
     """Replace columns of the rows whose key is in the batch, and add the rows with new keys.
 
-    Both joins take the batch with all its columns, behind a step that is not pruned: the two
-    then have the same plan below them, and Spark shuffles the batch only once.
+    The batch stands on the right of both joins with the table, so one that Spark knows to be
+    small (files, or an aggregate of files) is broadcast and the table stays where it is. All joins take the batch with all its columns, behind a step
+    that is not pruned: they then have the same plan below them.
     """
     columns = table.columns
     values = [name for name in columns if name != key]
@@ -70,7 +71,9 @@ def _merge(table: DataFrame, batch: DataFrame, key: str, replaced: Sequence[str]
             for name in columns
         ]
     )
-    added = batch.join(table.select(key), key, "left_anti").select(*columns)
+    # keys of the batch that the table has: never more than the batch, whatever the table's size
+    known = table.select(key).join(batch.select(key), key, "left_semi")
+    added = batch.join(known, key, "left_anti").select(*columns)
     return changed.unionByName(added)
 
 
@@ -144,9 +147,13 @@ def reduce_attempts(attempts: DataFrame, order_by: Sequence[str | Column]) -> Da
     return reduced.select("execution_id", "first.*", "last.*").select(*TASK_RUNS.fieldNames())
 
 
-def merge_runs(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """Merge rows that are already one per execution into a run table."""
-    return _merge(conform(table, TASK_RUNS), batch, "execution_id", REPLACED)
+def merge_runs(table: DataFrame, batch: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Merge rows that are already one per execution into a run table; ``columns`` narrows both."""
+    table = conform(table, TASK_RUNS)
+    if columns is not None:
+        wanted = ["execution_id", *[name for name in columns if name != "execution_id"]]
+        table, batch = table.select(*wanted), batch.select(*wanted)
+    return _merge(table, batch, "execution_id", [name for name in REPLACED if name in table.columns])
 
 
 def upsert_runs(table: DataFrame, attempts: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from evalspark.streaming.ingest import (
     attempt_schema,
     current_runs,
     ingest_runs,
+    log_position,
     read_attempts,
     read_log,
     write_batch,
@@ -80,3 +81,46 @@ def test_folding_part_of_the_log_into_a_new_base(spark, make_attempts, make_runs
     folded = current_runs(base, log, through=1)
     assert rows_of(current_runs(folded, log, after=1)) == rows_of(current_runs(base, log))
     assert read_log(spark, log, after=1).count() == 2
+
+
+def one(make_attempts, folder, task, output, number=1):
+    batch = make_attempts({"task_id": task, "model": "m", "output": output, "at": number})
+    batch.select(SCHEMA.fieldNames()).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_logs_of_one_name_do_not_share_progress(spark, make_attempts, tmp_path):
+    folder = str(tmp_path / "in")
+    one(make_attempts, folder, "t", "x")
+    for place in ("a", "b"):
+        run_stream(spark, folder, str(tmp_path / place / "log"))
+        assert read_log(spark, str(tmp_path / place / "log")).count() == 1
+
+
+def test_sources_and_checkpoints_do_not_replace_each_other(spark, make_attempts, tmp_path):
+    log = str(tmp_path / "log")
+    one(make_attempts, str(tmp_path / "in1"), "t", "first")
+    one(make_attempts, str(tmp_path / "in2"), "u", "second")
+    one(make_attempts, str(tmp_path / "in2"), "t", "later", 0)
+    run_stream(spark, str(tmp_path / "in1"), log, str(tmp_path / "c1"))
+    run_stream(spark, str(tmp_path / "in2"), log, str(tmp_path / "c2"))
+    assert rows_of(read_log(spark, log), "task_id", "output") == [("t", "later"), ("u", "second")]
+    one(make_attempts, str(tmp_path / "in3"), "v", "third")
+    run_stream(spark, str(tmp_path / "in3"), log, str(tmp_path / "c3"))
+    assert read_log(spark, log).count() == 3
+    position = log_position(spark, log)
+    assert len(position) == 3
+    assert read_log(spark, log, after=position).count() == 0
+    assert read_log(spark, log, through=position).count() == 3
+
+
+def test_reports_read_what_they_need(spark, make_attempts, make_runs, tmp_path):
+    log = str(tmp_path / "log")
+    base = str(tmp_path / "base")
+    make_runs({"task_id": "w", "model": "m", "output": "base"}).write.parquet(base)
+    for number, batch in enumerate(batches(make_attempts)):
+        write_batch(batch, number, log, ["at"])
+    found = current_runs(spark.read.parquet(base), log, columns=["model", "duration_ms"])
+    assert found.count() == 5 and "output#" not in plan_of(found.groupBy("model").avg("duration_ms"))
+    some = current_runs(spark.read.parquet(base), log, tasks=["t", "w"])
+    assert rows_of(some, "task_id", "output") == [("t", "four"), ("w", "base")]
+    assert all("task_id" in line for line in plan_of(some).splitlines() if "PushedFilters" in line)

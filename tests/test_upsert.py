@@ -160,11 +160,21 @@ def test_a_small_batch_does_not_shuffle_the_table(spark, make_attempts, tmp_path
     table = spark.read.parquet(str(tmp_path / "runs"))
     attempts = make_attempts({"task_id": "t", "model": "m", "output": "new"})
     batch = reduce_attempts(attempts, ["at"]).filter("execution_id IS NOT NULL")
-    small = spark.createDataFrame(batch.collect(), TASK_RUNS)
-    merged = merge_runs(table, small)
-    assert merged.count() == 2001
-    plan = plan_of(merged)
-    assert "LeftOuter" in plan and "LeftAnti" in plan
+    batch.write.parquet(str(tmp_path / "batch"))
+    merged = merge_runs(table, spark.read.parquet(str(tmp_path / "batch")))
+    assert len(merged.collect()) == 2001
+    lines = plan_of(merged).split("== Initial Plan ==")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [at for at, line in enumerate(lines) if "FileScan" in line and "/runs]" in line]
+    assert len(scans) == 2
+    for at in scans:  # up from the table to the join with the batch
+        above = []
+        for line in reversed(lines[:at]):
+            if depth(line) < depth(lines[at]) and (not above or depth(line) < depth(above[-1])):
+                above.append(line)
+        first_join = next(i for i, line in enumerate(above) if "Join" in line)
+        assert "BroadcastHashJoin" in above[first_join] and "BuildRight" in above[first_join]
+        assert not any("Exchange" in line for line in above[:first_join])
 
 
 def test_a_large_batch_is_shuffled_once(spark, make_attempts, make_runs):
