@@ -63,10 +63,14 @@ def orphan_totals(runs: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def prune_runs(runs: DataFrame, current: DataFrame) -> DataFrame:
-    """The runs that are not orphans; runs without a task id stay."""
-    return runs.join(orphan_task_ids(runs, current), "task_id", "left_anti").select(*runs.columns)
+    """The runs of current tasks, and those without a task id: one pass over the runs."""
+    known = current.select(F.col("task_id").alias("_known")).filter("_known IS NOT NULL").distinct()
+    marked = runs.join(known, F.col("task_id") == F.col("_known"), "left")
+    return marked.filter("_known IS NOT NULL OR task_id IS NULL").select(*runs.columns)
 
 
 def prune_tasks(tasks: DataFrame, runs: DataFrame, current: DataFrame) -> DataFrame:
     """The registered tasks that are not orphans; a task without runs stays."""
-    return tasks.join(orphan_task_ids(runs, current), "task_id", "left_anti").select(*tasks.columns)
+    gone = tasks.select("task_id").join(current.select("task_id"), "task_id", "left_anti")
+    orphans = gone.join(runs.select("task_id"), "task_id", "left_semi")
+    return tasks.join(orphans, "task_id", "left_anti").select(*tasks.columns)

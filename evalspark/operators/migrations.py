@@ -2,59 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CURRENT_VERSION = "0.2.0"
 UNVERSIONED = "0.1.0"  # what a store without a version row is
+#: The columns that each version added to the run table, and what older rows have there.
+ADDED = {"0.2.0": {"validation_pending": "false", "validation_rubric": "CAST(NULL AS STRING)"}}
 
 
-@dataclass(frozen=True)
-class Upgrade:
-    """One step of the run table's schema: the version it leads to, and how."""
+def version_order(version: str) -> tuple:
+    """Sorts versions: numbers as numbers, ``0.2`` as ``0.2.0``, a pre-release before its release."""
+    release, pre = re.fullmatch(r"v?([0-9]+(?:\.[0-9]+)*)[-._]?((?:a|b|rc)[0-9]*)?.*", version.strip().lower()).groups()
+    numbers = [int(part) for part in release.split(".")]
+    while numbers and not numbers[-1]:
+        del numbers[-1]
+    stage, count = re.fullmatch(r"([a-z]*)([0-9]*)", pre or "z").groups()
+    return tuple(numbers), stage, int(count or 0)
 
-    version: str
-    description: str
-    apply: Callable[[DataFrame], DataFrame]
 
+def pending_upgrades(
+    current: str | None, columns: list[str] | None = None, added: dict[str, dict[str, str]] = ADDED
+) -> list[str]:
+    """The versions, oldest first, that a table has yet to be brought to.
 
-def add_manual_grading(runs: DataFrame) -> DataFrame:
-    """Add the two columns of manual grading where they are absent."""
-    if "validation_pending" not in runs.columns:
-        runs = runs.withColumn("validation_pending", F.lit(False))
-    if "validation_rubric" not in runs.columns:
-        runs = runs.withColumn("validation_rubric", F.lit(None).cast("string"))
-    return runs
-
-
-UPGRADES = (
-    Upgrade("0.2.0", "manual grading: validation_pending and validation_rubric", add_manual_grading),
-)
-
-
-def _ordinal(version: str) -> tuple[int, ...]:
-    """Version numbers compare as numbers, and ``0.2`` is ``0.2.0``."""
-    numbers = [int(part) for part in version.split(".")]
-    while numbers and numbers[-1] == 0:
-        numbers.pop()
-    return tuple(numbers)
-
-
-def pending_upgrades(current: str | None, upgrades: tuple[Upgrade, ...] = UPGRADES) -> list[Upgrade]:
-    """The upgrades a store still needs, oldest first; all of them when it has no version."""
-    steps = sorted(upgrades, key=lambda step: _ordinal(step.version))
-    if current is None:
-        return steps
-    return [step for step in steps if _ordinal(step.version) > _ordinal(current)]
+    That are those above its version, and those whose columns it has not.
+    """
+    at = version_order(current or UNVERSIONED)
+    have = set(columns) if columns is not None else None
+    wanting = {v for v, new in added.items() if have is not None and not have.issuperset(new)}
+    return sorted(wanting | {v for v in added if version_order(v) > at}, key=version_order)
 
 
 def migrate_runs(runs: DataFrame, current: str | None = None) -> DataFrame:
-    """Bring a run table up to date. Each step looks at the columns, so repeating it is harmless."""
-    for step in pending_upgrades(current):
-        runs = step.apply(runs)
+    """Bring a run table up to date. Columns that are there stay, so repeating it is harmless."""
+    for version in pending_upgrades(current, runs.columns):
+        missing = {name: F.expr(value) for name, value in ADDED[version].items() if name not in runs.columns}
+        runs = runs.withColumns(missing) if missing else runs
     return runs
 
 

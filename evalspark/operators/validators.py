@@ -2,8 +2,8 @@
 
 A validator is a function from the output column to a struct; rules bind validators to task
 patterns, and a task gets the first rule that matches it. Substring checks and manual review
-are plain expressions. Python functions run in an Arrow-batched UDF, and only see the outputs
-of their own tasks.
+are plain expressions. Python functions run in one Arrow-batched UDF, which gets the rows with a
+Python rule and no others.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import asyncio
 import inspect
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -35,19 +35,18 @@ class Rule:
     """Apply ``validator`` to the tasks whose id chain matches ``pattern``."""
 
     pattern: str
-    validator: Validator
+    validator: Validator | PythonCheck
 
 
-@dataclass
-class Validation:
-    """What a Python validator returns. ``passed`` is None while a review is pending."""
+@dataclass(frozen=True)
+class PythonCheck:
+    """A Python function, plain or async, from output text to a mapping of validation fields."""
+
+    check: Callable[[str], Any]
 
-    passed: bool | None
-    score: float = 1.0
-    reason: str | None = None
-    metadata: dict[str, Any] = field(default_factory=dict)
-    pending: bool = False
-    rubric: str | None = None
+
+#: What a field is that a validator does not set; all others are NULL.
+UNSET = {"score": 1.0, "pending": False}
 
 
 def outcome(
@@ -58,21 +57,16 @@ def outcome(
     pending: Column | bool | None = None,
     rubric: Column | str | None = None,
 ) -> Column:
-    """Build a validator's result; a missing score is 1.0 and a missing pending mark is false."""
-
-    def column(value: Column | object, name: str) -> Column:
-        kind = OUTCOME[name].dataType
-        return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
-
-    return F.struct(
-        column(passed, "passed").alias("passed"),
-        F.coalesce(column(score, "score"), F.lit(1.0)).alias("score"),
-        column(reason, "reason").alias("reason"),
-        column(metadata, "metadata").alias("metadata"),
-        F.coalesce(column(pending, "pending"), F.lit(False)).alias("pending"),
-        column(rubric, "rubric").alias("rubric"),
-        F.lit(None).cast("string").alias("failure"),
-    )
+    """Build a validator's result; fields that are not given, or NULL, are as ``UNSET`` has them."""
+    given = {
+        "passed": passed, "score": score, "reason": reason,
+        "metadata": metadata, "pending": pending, "rubric": rubric,
+    }
+    fields = []
+    for name, value in given.items():
+        value = (value if isinstance(value, Column) else F.lit(value)).cast(OUTCOME[name].dataType)
+        fields.append((F.coalesce(value, F.lit(UNSET[name])) if name in UNSET else value).alias(name))
+    return F.struct(*fields, F.lit(None).cast("string").alias("failure"))
 
 
 def contains(expected: str, reason: str | None = None) -> Validator:
@@ -90,68 +84,87 @@ def manual(rubric: str | None = None) -> Validator:
     return lambda output: outcome(None, 0.0, pending=True, rubric=rubric)
 
 
-def pending_review(rubric: str | None = None) -> Validation:
-    """The same for a Python validator."""
-    return Validation(passed=None, score=0.0, pending=True, rubric=rubric)
+def python(check: Callable[[str], Any]) -> PythonCheck:
+    """Validate with a Python function that maps output text to any of the validation's fields.
 
+    ``{"passed": True}`` is enough; metadata is a dictionary. An exception, or a field that a
+    validation does not have, becomes a failed validation and the run's error; it does not fail
+    the job.
+    """
+    return PythonCheck(check)
 
-def python(check: Callable[[str], Any]) -> Validator:
-    """A Python function, plain or async, from output text to ``Validation``.
 
-    An exception becomes a failed validation and the run's error; it does not fail the job.
-    """
+async def _outcome(check: Callable[[str], Any], output: str) -> tuple:
+    try:
+        made = check(output)
+        if inspect.isawaitable(made):
+            made = await made
+        if unknown := set(made) - set(VALIDATION.fieldNames()):
+            raise ValueError(f"a validation has no {', '.join(sorted(unknown))}")
+        found = UNSET | {name: value for name, value in made.items() if value is not None}
+        found["score"] = float(found["score"])
+        found["metadata"] = json.dumps(found["metadata"]) if found.get("metadata") else None
+        return (*(found.get(name) for name in VALIDATION.fieldNames()), None)
+    except Exception as failure:  # any failure of user code is a result here
+        failed = UNSET | {"passed": False, "score": 0.0, "reason": f"Validation error: {failure}"}
+        return (*(failed.get(name) for name in VALIDATION.fieldNames()), str(failure))
+
 
-    def one(output: str | None) -> tuple:
-        if output is None:
-            return (None,) * len(OUTCOME)
-        try:
-            made = check(output)
-            if inspect.isawaitable(made):
-                made = asyncio.run(_await(made))
-            metadata = json.dumps(made.metadata) if made.metadata else None
-            return made.passed, float(made.score), made.reason, metadata, made.pending, made.rubric, None
-        except Exception as failure:  # any failure of user code is a result here
-            return False, 0.0, f"Validation error: {failure}", None, False, None, str(failure)
+def _run_checks(checks: dict[int, Callable[[str], Any]], at_once: int):
+    """One UDF for all Python rules: the checks of an Arrow batch share an event loop."""
+
+    async def all_of(rules: pd.Series, outputs: pd.Series) -> list[tuple]:
+        free = asyncio.Semaphore(at_once)
+
+        async def one(rule: int, output: str) -> tuple:
+            async with free:
+                return await _outcome(checks[rule], output)
+
+        return await asyncio.gather(*map(one, rules, outputs))
 
     @F.pandas_udf(OUTCOME)
-    def run(outputs: pd.Series) -> pd.DataFrame:
-        rows = [one(output) for output in outputs]
+    def run(rules: pd.Series, outputs: pd.Series) -> pd.DataFrame:
+        rows = asyncio.run(all_of(rules, outputs))
         return pd.DataFrame(rows, columns=OUTCOME.fieldNames(), dtype=object)
 
     return run
 
 
-async def _await(made: Any) -> Any:
-    return await made
-
-
 def assign_rules(tasks: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(task_id, rule): the number of the first rule that matches each task with a validator."""
     number = F.coalesce(
         *[F.when(matches(F.col("id_chain"), rule.pattern), F.lit(at)) for at, rule in enumerate(rules)]
     )
-    return (
-        tasks.filter("has_validator").select("task_id", number.alias("rule")).filter("rule IS NOT NULL")
-    )
+    # a task may lie in several folders; it is one task, with the first of their rules
+    ruled = tasks.filter("has_validator").select("task_id", number.alias("rule")).filter("rule IS NOT NULL")
+    return ruled.groupBy("task_id").agg(F.min("rule").alias("rule"))
 
 
-def validate_outputs(outputs: DataFrame, tasks: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def validate_outputs(
+    outputs: DataFrame, tasks: DataFrame, rules: Sequence[Rule], at_once: int = 64
+) -> DataFrame:
     """Add ``validation`` to (task_id, output, error, ...) rows.
 
     A NULL output counts as empty text. A failed run, and a task without a rule, get no
     validation; a failing validator also sets ``error``. Patterns are matched on the tasks, so
-    only a rule number is joined to the outputs.
+    only a rule number is joined to the outputs. Only rows with a Python rule go to Python, once;
+    ``at_once`` of the checks of an Arrow batch may wait for something at a time.
     """
     others = [name for name in outputs.columns if name not in ("output", "error")]
     ruled = outputs.join(assign_rules(tasks, rules), "task_id", "left").select(
         *others, F.coalesce("output", F.lit("")).alias("output"), "error", "rule"
     )
+    checks = {at: rule.validator.check for at, rule in enumerate(rules) if isinstance(rule.validator, PythonCheck)}
     chosen = F.lit(None).cast(OUTCOME)
     for at, rule in enumerate(rules):
-        applies = F.col("error").isNull() & (F.col("rule") == at)
-        result = rule.validator(F.when(applies, F.col("output")))
-        chosen = F.when(applies, result).otherwise(chosen)
-    checked = ruled.select(*others, "output", "error", chosen.alias("_outcome"))
+        if at not in checks:
+            applies = F.col("error").isNull() & (F.col("rule") == at)
+            chosen = F.when(applies, rule.validator(F.when(applies, F.col("output")))).otherwise(chosen)
+    checked = ruled.withColumn("_outcome", chosen)
+    if checks:
+        in_python = F.coalesce(F.col("error").isNull() & F.col("rule").isin(list(checks)), F.lit(False))
+        found = _run_checks(checks, at_once)(F.col("rule"), F.col("output"))
+        checked = checked.filter(~in_python).unionByName(ruled.filter(in_python).withColumn("_outcome", found))
     return checked.select(
         *others,
         "output",
@@ -161,13 +174,20 @@ def validate_outputs(outputs: DataFrame, tasks: DataFrame, rules: Sequence[Rule]
 
 
 def judge_outputs(
-    outputs: DataFrame, scores: DataFrame, key: str = "execution_id", threshold: float = 0.5
+    outputs: DataFrame,
+    scores: DataFrame,
+    key: str = "execution_id",
+    threshold: float = 0.5,
+    order_by: Sequence[str | Column] = (),
 ) -> DataFrame:
     """Add ``validation`` from a table of judge scores (key, score): passed above the threshold.
 
-    The judging itself happens elsewhere; rows without a score get no validation.
+    The judging itself happens elsewhere; rows without a score get no validation. Of several
+    scores of one key the last in ``order_by`` counts, without an order the highest.
     """
-    judged = outputs.join(scores.select(key, F.col("score").alias("_score")), key, "left")
+    order = F.struct(*order_by, "score") if order_by else F.col("score")
+    last = scores.groupBy(key).agg(F.max_by("score", order).alias("_score"))
+    judged = outputs.join(last, key, "left")
     verdict = outcome(F.col("_score") > F.lit(threshold), F.col("_score")).dropFields("failure")
     return judged.withColumn(
         "validation", F.when(F.col("_score").isNotNull() & F.col("error").isNull(), verdict)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import migrations
-from evalspark.operators.migrations import CURRENT_VERSION, Upgrade
+from evalspark.operators.migrations import CURRENT_VERSION
 from evalspark.schemas import SCHEMA_VERSION, TASK_RUNS, TASKS, SchemaError
 from evalspark.session import shared_folder
 from evalspark.sources import tables
@@ -40,16 +40,17 @@ def test_latest_version_is_the_one_applied_last(spark):
 
 
 def test_pending_upgrades():
-    steps = tuple(Upgrade(version, "", lambda runs: runs) for version in ("0.10.0", "0.2.0", "0.9.0"))
+    added = {version: {f"new_{at}": "1"} for at, version in enumerate(("0.10.0", "0.2.0", "0.9.0rc1", "0.9.0"))}
 
-    def pending(current):
-        return [step.version for step in migrations.pending_upgrades(current, steps)]
+    def pending(current, columns=None):
+        return migrations.pending_upgrades(current, columns, added)
 
-    assert pending(None) == ["0.2.0", "0.9.0", "0.10.0"]
-    assert pending("0.9.0") == ["0.10.0"]
-    assert pending("0.2") == ["0.9.0", "0.10.0"]
+    assert pending(None) == ["0.2.0", "0.9.0rc1", "0.9.0", "0.10.0"]
+    assert pending("0.9.0") == ["0.10.0"] and pending("0.9.0rc1") == ["0.9.0", "0.10.0"]
+    assert pending("0.2") == ["0.9.0rc1", "0.9.0", "0.10.0"]
     assert pending("1.0.0") == []
-    assert [step.version for step in migrations.pending_upgrades("0.1.0")] == ["0.2.0"]
+    assert pending("1.0.0", ["new_0", "new_2", "new_3"]) == ["0.2.0"]
+    assert migrations.pending_upgrades("0.1.0") == ["0.2.0"]
     assert migrations.pending_upgrades(CURRENT_VERSION) == []
 
 

@@ -3,12 +3,10 @@ import pytest
 from evalspark.operators.upsert import flatten_validation
 from evalspark.operators.validators import (
     Rule,
-    Validation,
     assign_rules,
     contains,
     judge_outputs,
     manual,
-    pending_review,
     python,
     validate_outputs,
 )
@@ -70,11 +68,11 @@ def test_python_validators(tasks, outputs):
         if output == "it is 5":
             raise ValueError("five!")
         if output == "":
-            return pending_review("see it")
-        return Validation(passed=True, metadata={"length": len(output)})
+            return {"score": 0.0, "pending": True, "rubric": "see it"}
+        return {"passed": True, "metadata": {"length": len(output)}}
 
     async def later(output):
-        return Validation(passed=False, score=0.5, reason=output)
+        return {"passed": False, "score": 0.5, "reason": output}
 
     rules = [Rule("math::*", python(check)), Rule("essay::*", python(later))]
     checked = validate_outputs(outputs, tasks, rules)
@@ -103,3 +101,33 @@ def test_validations_flatten_into_run_columns(tasks, outputs):
         (1, True, False),
         (6, None, False),
     ]
+
+
+def test_one_row_per_output(spark, make_tasks):
+    """A task in two folders, and two scores of one run, do not multiply rows."""
+    tasks = make_tasks(("/a", ["x", "y"], MESSAGE_PAIR, True), ("/b", ["x", "y"], MESSAGE_PAIR, True))
+    task_id = tasks.first().task_id
+    outputs = spark.createDataFrame([("e", task_id, "text", None)], "execution_id string, task_id string, output string, error string")
+    assert validate_outputs(outputs, tasks, [Rule("**", contains("t"))]).count() == 1
+    scores = spark.createDataFrame([("e", 0.9, 1), ("e", 0.2, 2)], "execution_id string, score double, at int")
+    assert [r.validation.score for r in judge_outputs(outputs, scores, order_by=["at"]).collect()] == [0.2]
+    assert [r.validation.score for r in judge_outputs(outputs, scores).collect()] == [0.9]
+
+
+def test_checks_that_wait_do_so_together(spark, make_tasks):
+    import asyncio
+    import time
+
+    async def slow(output):
+        await asyncio.sleep(0.3)
+        return {"passed": output == "1", "wrong": 1} if output == "2" else {"passed": output == "1"}
+
+    tasks = make_tasks(("/a", ["x"], MESSAGE_PAIR, True))
+    task_id = tasks.first().task_id
+    rows = [(task_id, str(i), None) for i in range(100)]
+    outputs = spark.createDataFrame(rows, "task_id string, output string, error string").coalesce(1)
+    start = time.perf_counter()
+    found = {r.output: r for r in validate_outputs(outputs, tasks, [Rule("**", python(slow))], at_once=200).collect()}
+    assert time.perf_counter() - start < 20 and len(found) == 100
+    assert found["1"].validation.passed and not found["3"].validation.passed
+    assert "no wrong" in found["2"].error
