@@ -22,7 +22,7 @@ BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: A worker remembers so many units at most in each of two generations, none longer than so many
 #: characters.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 
 
 def units(text: str) -> list[str]:
@@ -60,18 +60,18 @@ class Memory(dict):
 
     def values_of(self, texts: list[list[str]]) -> list[list]:
         """The values of the units of every text."""
-        wanted = set().union(*texts)
-        missing = wanted.difference(self)
-        if len(self) + len(missing) > REMEMBERED:
+        found = [list(map(self.get, text)) for text in texts]
+        holes = [at for at, values in enumerate(found) if None in values]
+        missing = set()
+        for at in holes:
+            missing.update(unit for unit, value in zip(texts[at], found[at], strict=True) if value is None)
+        fresh = {unit: self.older[unit] for unit in missing & self.older.keys()}
+        missing = sorted(missing.difference(fresh))
+        fresh |= zip(missing, self.make(missing), strict=True)
+        if len(self) + len(fresh) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-            missing = wanted
-        for unit in missing & self.older.keys():
-            self[unit] = self.older[unit]
-        missing = sorted(missing.difference(self))
-        long = {}
-        for unit, value in zip(missing, self.make(missing), strict=True):
-            (self if len(unit) <= LONGEST else long)[unit] = value
-        if not long:
-            return [list(map(self.__getitem__, text)) for text in texts]
-        return [[long[u] if u in long else self[u] for u in text] for text in texts]
+        self.update((unit, value) for unit, value in fresh.items() if len(unit) <= LONGEST)
+        for at in holes:
+            found[at] = [fresh[unit] if value is None else value for unit, value in zip(texts[at], found[at], strict=True)]
+        return found
