@@ -6,6 +6,8 @@ character by character, globs are regular expressions translated by hand.
 
 from __future__ import annotations
 
+from conformance.queries import ODD_IDS
+from evalspark.operators.migrations import CURRENT_VERSION
 from conformance.fixtures import MODEL_NAMES, REGISTERED_AT, RUBRIC, STAMP
 
 
@@ -15,6 +17,8 @@ def _values(rows: list[tuple]) -> str:
 
 _MODELS = _values([(at, name, f"M{at}_OR") for at, name in enumerate(MODEL_NAMES)])
 
+_ODD = ", ".join("'" + text.replace("'", "''") + "'" for text in ODD_IDS)
+
 # JSON string escapes, ASCII only: short forms, then UTF-16 units in hex.
 _ESCAPED = r"""array_to_string(list_transform(string_split(text, ''), lambda ch: CASE
     WHEN ch = '' THEN ''
@@ -306,6 +310,26 @@ _QUERIES = {
         CAST(NULL AS VARCHAR) AS validation_reason, FALSE AS validation_pending,
         CAST(NULL AS VARCHAR) AS validation_rubric
       FROM fx_runs""",
+    "validate_python": """SELECT execution_id, error AS error,
+        validation_passed, validation_score, validation_reason, validation_pending, validation_rubric FROM (
+      SELECT execution_id, len(id_chain) = 3 AS native, CASE WHEN r.error IS NULL AND length(r.output) % 5 <> 0 THEN r.output ELSE '' END AS text,
+        r.error IS NULL AND t.has_validator AND len(id_chain) = 2 AND length(text) > 0 AND length(text) % 7 = 0 AS raised,
+        CASE WHEN raised THEN 'bad length ' || length(text) ELSE r.error END AS error,
+        CASE WHEN r.error IS NOT NULL OR NOT t.has_validator THEN NULL WHEN native THEN contains(text, 'the')
+             WHEN raised THEN FALSE WHEN length(text) > 0 THEN length(text) % 2 = 0 END AS validation_passed,
+        CASE WHEN r.error IS NOT NULL OR NOT t.has_validator THEN NULL WHEN native THEN CASE WHEN contains(text, 'the') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+             WHEN raised OR length(text) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS validation_score,
+        CASE WHEN r.error IS NOT NULL OR NOT t.has_validator THEN NULL WHEN native THEN CASE WHEN NOT contains(text, 'the') THEN 'not found' END
+             WHEN raised THEN 'Validation error: bad length ' || length(text) END AS validation_reason,
+        r.error IS NULL AND t.has_validator AND NOT native AND length(text) = 0 AS validation_pending,
+        CASE WHEN r.error IS NULL AND t.has_validator AND NOT native AND length(text) = 0 THEN '"""
+    + RUBRIC
+    + """' END AS validation_rubric
+      FROM fx_runs r JOIN fx_tasks t ON t.task_id = r.task_id)""",
+    "clean_runs": "SELECT execution_id, task_id, model FROM fx_runs WHERE FALSE",
+    "schema_versions": f"""SELECT 'before' AS state, arg_max('0.' || (event_id % 12) || '.' || (event_id % 5), event_id) AS version FROM events
+      UNION ALL SELECT 'after', '{CURRENT_VERSION}'""",
+    "export_chains": f"""SELECT conv_id, CAST(list_append(id_chain, [{_ODD}][conv_id % {len(ODD_IDS)} + 1]) AS VARCHAR) AS id_chain FROM fx_tasks""",
 }
 
 # Results with a three-valued flag show it as text.
@@ -322,6 +346,7 @@ _FLAGGED = (
     "validate_contains",
     "validate_manual",
     "validate_judge",
+    "validate_python",
 )
 
 ORACLE = {

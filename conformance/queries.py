@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from conformance.fixtures import ATTEMPT_ORDER, MODEL_NAMES, RUBRIC, Fixtures, stamp
 from evalspark.functions.globs import matches
 from evalspark.functions.identity import chain_text, messages_hash, name_or_id, short_model
-from evalspark.operators import cleanup, grading, models, runs, upsert, validators
+from evalspark.operators import cleanup, grading, migrations, models, runs, upsert, validators
 from evalspark.operators.migrations import migrate_runs
 from evalspark.plans import summaries
 from evalspark.sources import prompts, tree
@@ -29,6 +29,7 @@ SINGLE_GLOB = "cat_1::*"
 DOUBLE_STAR_GLOB = "cat_0::**::conv_*[02468]"
 SEVERAL_GLOBS = ("cat_2::conv_?", "**::grp_[1-3]::*", "cat_[!012]::*")
 MODEL_TEXT = "MODEL_"  # the underscore is a wildcard: it also finds "model-"
+ODD_IDS = ("a b", "a, b", "c'd", 'say "x"', " a", "a ", "", "null", "x[0]", "k: v", "a=b", "back\\slash", "(p)", "{q}")
 GRADE_MODEL_TEXT = "ORG1/model_"  # here it is plain text
 
 
@@ -401,3 +402,55 @@ def validate_manual(fx: Fixtures) -> DataFrame:
 def validate_judge(fx: Fixtures) -> DataFrame:
     outputs = fx.runs().select("execution_id", "task_id", "error")
     return validation_rows(validators.judge_outputs(outputs, fx.judge_scores()))
+
+
+def checked_by_length(output: str) -> dict:
+    """A check in Python that passes, leaves to a person, or raises, by the length of a text."""
+    if not output:
+        return {"score": 0.0, "pending": True, "rubric": RUBRIC}
+    if len(output) % 7 == 0:
+        raise ValueError(f"bad length {len(output)}")
+    return {"passed": len(output) % 2 == 0}
+
+
+@query
+def validate_python(fx: Fixtures) -> DataFrame:
+    """Some outputs are NULL, some checks raise, most fields are left to their defaults."""
+    outputs = fx.runs(with_output=True).select(
+        "execution_id", "task_id", F.when(F.length("output") % 5 != 0, F.col("output")).alias("output"), "error"
+    )
+    rules = [
+        validators.Rule("*::grp_*::*", validators.contains(EXPECTED, "not found")),
+        validators.Rule("**", validators.python(checked_by_length)),
+    ]
+    return validation_rows(validators.validate_outputs(outputs, fx.tasks, rules))
+
+
+# -- the store itself --------------------------------------------------------------------
+
+
+@query
+def clean_runs(fx: Fixtures) -> DataFrame:
+    return cleanup.clean_runs(fx.runs()).select("execution_id", "task_id", "model")
+
+
+@query
+def schema_versions(fx: Fixtures) -> DataFrame:
+    """The version a store is at, before and after another one is recorded."""
+    event = F.col("event_id")
+    versions = fx.table("events").select(
+        F.concat(F.lit("0."), (event % 12).cast("string"), F.lit("."), (event % 5).cast("string")).alias("version"),
+        F.timestamp_seconds(1_600_000_000 + event).cast("timestamp_ntz").alias("applied_at"),
+    )
+    later = migrations.record_version(versions, migrations.CURRENT_VERSION, F.timestamp_seconds(F.lit(4_000_000_000)))
+    states = [("before", versions), ("after", later)]
+    found = [migrations.latest_version(table).select(F.lit(name).alias("state"), "version") for name, table in states]
+    return found[0].unionByName(found[1])
+
+
+@query
+def export_chains(fx: Fixtures) -> DataFrame:
+    """Id chains as the export writes them, with ids that need quotes."""
+    ids = F.array(*[F.lit(text) for text in ODD_IDS])
+    odd = F.get(ids, (F.col("conv_id") % len(ODD_IDS)).cast("int"))
+    return fx.tasks.select("conv_id", summaries.list_text(F.concat("id_chain", F.array(odd))).alias("id_chain"))

