@@ -218,35 +218,26 @@ class Code:
 
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(*shared.value)
+        """Sorted rows in code, with their shard and the number of the first id of each in it."""
+        code, shard, before = Code(*shared.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            rows, sizes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for part in _slices(sizes):
-                payloads, marks = code.encode(_unpacked(rows[part], sizes[part]), np.array(sizes[part], np.int64))
+                own = np.array(sizes[part], np.int64)
+                payloads, marks = code.encode(_unpacked(rows[part], sizes[part]), own)
+                firsts = before + np.cumsum(own) - own
+                before += int(own.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[part], batch.column(1)[part], pa.array(sizes[part], pa.int64()),
-                        pa.array(payloads, pa.binary()), pa.array([m.tolist() for m in marks], pa.list_(pa.int64())),
+                        pa.array(np.full(len(own), shard, np.int64)), pa.array(firsts), batch.column(0)[part], pa.array(own),
+                        pa.array(payloads, pa.binary()), pa.array(marks, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "crc", "n_ids", "payload", "marks"],
+                    ["shard", "first", "doc_id", "n_ids", "payload", "marks"],
                 )
 
     return run
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shard of sorted rows and the number of the first id of each row in it."""
-    shard, before = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        sizes = batch.column(2).to_numpy()
-        firsts = before + np.cumsum(sizes) - sizes
-        before += int(sizes.sum())
-        columns = [pa.array(np.full(len(sizes), shard, np.int64)), pa.array(firsts.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, *(batch.column(i) for i in (0, 2, 3, 4))], ["shard", "first", "doc_id", "n_ids", "payload", "marks"]
-        )
-
-
 def write_token_files(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
     """Tokenize, count, code and write; the driver holds the codebook, as long as the vocabulary."""
     spark = docs.sparkSession
@@ -258,13 +249,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = END) -
     book.coalesce(1).write.parquet(f"{folder}/codebook")
     shared = spark.sparkContext.broadcast(([i for i, _ in counts], lengths))
     kind = ids.schema["doc_id"].dataType.simpleString()
-    coded = ids.select("doc_id", "crc", "ids", "n_ids").mapInArrow(
-        _encode(shared), f"doc_id {kind}, crc bigint, n_ids bigint, payload binary, marks array<bigint>"
-    )
-    ordered = coded.repartitionByRange(tasks_for(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
+    # sorted before coding: finding the ranges runs what comes before it a second time
+    ordered = ids.repartitionByRange(tasks_for(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
     schema = f"shard bigint, first bigint, doc_id {kind}, n_ids bigint, payload binary, marks array<bigint>"
-    numbered = ordered.mapInArrow(_number, schema)
-    numbered.write.option("compression", "none").parquet(f"{folder}/ids")
+    coded = ordered.select("doc_id", "ids", "n_ids").mapInArrow(_encode(shared), schema)
+    coded.write.option("compression", "none").parquet(f"{folder}/ids")
     sizes = spark.read.parquet(f"{folder}/ids").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes.select("shard", before.alias("start")).write.parquet(f"{folder}/shards")  # a row per file
