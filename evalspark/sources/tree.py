@@ -20,6 +20,11 @@ from evalspark.sources.prompts import parse_prompts
 
 DESCRIPTION_FILE = "description.md"
 VALIDATOR_FILE = "validate.py"
+#: A line at the left margin that defines, assigns or imports the name ``validate``.
+VALIDATOR_NAME = (
+    r"(?m)^(?:(?:(?:async[ \t]+)?def|class)[ \t]+validate\b|validate[ \t]*[:=](?!=)"
+    r"|(?:from[ \t][^\n]*[ \t])?import[ \t][^\n#]*\bvalidate\b)"
+)
 
 # Values of ``kind`` in a problem table; the last is a warning, the others are failures.
 NOT_A_DIRECTORY = "root is not a directory"
@@ -105,6 +110,24 @@ def validator_directories(files: DataFrame) -> DataFrame:
     )
 
 
+def read_validators(spark: SparkSession, root: str) -> DataFrame:
+    """(directory): the directories whose validator file has the name ``validate``.
+
+    The file is read as text, not run: a name that is made in another way is not seen.
+    """
+    reader = (
+        spark.read.format("text")
+        .option("wholetext", True)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", VALIDATOR_FILE)
+    )
+    return (
+        _load(reader.load, root)
+        .filter(F.col("value").rlike(VALIDATOR_NAME))
+        .select(_directory_of(_relative(F.col("_metadata.file_path"), root)).alias("directory"))
+    )
+
+
 def read_prompts(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
     """(directory, id, messages, parse_error): every prompt document below the root."""
     reader = (
@@ -236,4 +259,4 @@ def scan_tree(spark: SparkSession, root: str, strict: bool = True, ordered: bool
         first = failures.orderBy(_parts(F.col("directory"))).limit(1).collect()
         if first:
             raise TreeError(f"{first[0]['kind']}: {root}/{first[0]['directory']}".rstrip("/"))
-    return build_tasks(prompts, validator_directories(files), root, ordered)
+    return build_tasks(prompts, read_validators(spark, root), root, ordered)

@@ -111,6 +111,22 @@ def test_a_container_without_subdirectories_is_only_a_warning(spark, tmp_path):
     assert rows_of(scan_problems(spark, root)) == [("d", NO_SUBDIRECTORIES)]
 
 
+def test_a_validator_file_needs_the_name(spark, tmp_path):
+    sources = {
+        "a": "from checks import other, validate\n",
+        "b": "import re\n\nvalidate = re.compile\n",
+        "c": "def validate_all(output): ...\n",
+        "d": "class Check:\n    def validate(self, output): ...\n",
+        "e": "",
+        "f": "x = 1\r\nasync def validate(output): ...\r\n",
+        "g": "# def validate(output): ...\nvalidate == 1\n",
+    }
+    files = {f"{name}/validate.py": text for name, text in sources.items()}
+    root = write(tmp_path, files | {f"{name}/description.md": node(name, LEAF) for name in sources})
+    found = {t.id_chain[0] for t in scan_tree(spark, root).collect() if t.has_validator}
+    assert found == {"a", "b", "f"}
+
+
 def test_wrong_roots(spark, tmp_path):
     with pytest.raises(TreeError):
         scan_tree(spark, str(tmp_path / "absent"))
