@@ -5,6 +5,7 @@ from __future__ import annotations
 from evalspark.llm.common import LOWER, UPPER, WORD
 from evalspark.llm.decontaminate import PLAIN_WORD, SHARE
 from evalspark.llm.decontaminate import WINDOW as BENCHMARK_WINDOW
+from evalspark.llm.filter_audit import FILTERS, LEAST_DISTINCT, LEAST_WORDS, MOST_CAPITALS
 from evalspark.llm.quality import CUTOFFS, ERROR, MAX_REPEAT_PERCENT, MIN_WORDS, REPEAT_WINDOW, RISK
 from evalspark.llm.quality import RULES as QUALITY_RULES
 from evalspark.llm.quality import SYMBOLS
@@ -139,7 +140,59 @@ SELECT d.doc_id, {_NO_COUNTS}, sha256(coalesce(base, '')) AS base_sha256, coales
 FROM docs d LEFT JOIN by_doc b ON d.doc_id = b.doc_id
 """
 
+EXACT = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+_STEPS = " UNION ALL ".join(
+    f"SELECT names, pos + 1 AS step, substr(names, pos + 1, 1) AS name, instr('{FILTERS}', substr(names, pos + 1, 1)) - 1 AS bit, "
+    f"{' + '.join([f'(1 << (instr({chr(39)}{FILTERS}{chr(39)}, substr(names, {at}, 1)) - 1))' for at in range(1, pos + 1)]) or '0'} AS earlier "
+    f"FROM (SELECT *, {pos} AS pos FROM orders)"
+    for pos in range(len(FILTERS))
+)
+FILTER_AUDIT = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+failing AS (
+  SELECT doc_id, part,
+    (len(words) < {LEAST_WORDS})::INT + 2 * (100 * len(list_distinct(words)) < {LEAST_DISTINCT} * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {MOST_CAPITALS} * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, false)::INT AS mask
+  FROM docs),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(string_split('{FILTERS}', '')) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS names FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS ({_STEPS}),
+counted AS (
+  SELECT part, names, step, name,
+    sum(n) FILTER (mask & (earlier | (1 << bit)) = 0) AS kept,
+    sum(n) FILTER (mask & (1 << bit) <> 0 AND mask & earlier = 0) AS removed,
+    sum(n) FILTER (mask & (1 << bit) <> 0 AND mask & earlier <> 0) AS redundant,
+    sum(n) FILTER (mask = 1 << bit) AS unique_fails,
+    sum(good) FILTER (mask & (1 << bit) <> 0 AND mask & earlier = 0) AS good_lost,
+    sum(toxic) FILTER (mask & (1 << bit) <> 0 AND mask & earlier = 0) AS toxic_lost
+  FROM cells CROSS JOIN steps GROUP BY part, names, step, name)
+SELECT part, names AS filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, name), 0) AS BIGINT) AS shapley
+FROM counted
+"""
+
 ORACLE = {
+    "op12_exact_dedup": EXACT,
+    "op13_filter_interaction_audit": FILTER_AUDIT,
     "op4_benchmark_decontamination": BENCHMARK,
     "op6_substring_dedup": REPEATS,
     "op9_quality_rules": QUALITY,

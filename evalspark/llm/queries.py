@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from evalspark.llm.conversations import op11_conversation_repair
 from evalspark.llm.decontaminate import op4_benchmark_decontamination
+from evalspark.llm.exact import op12_exact_dedup
+from evalspark.llm.filter_audit import op13_filter_interaction_audit
 from evalspark.llm.language_model import op3_ngram_trie_scores
 from evalspark.llm.oracle import ORACLE
 from evalspark.llm.packing import op1_best_fit_packing
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_token_id_output": op8_token_id_output,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
     "pipeline": corpus_pipeline.run,
 }
 
