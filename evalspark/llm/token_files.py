@@ -42,22 +42,41 @@ BLANKS = frozenset(re.findall(f"[{BLANK}]", "".join(map(chr, range(1 << 14)))))
 GROUP_IDS = 1_000_000
 
 
-def _encode_units(tokenizer, missing: list[str]) -> list[bytes]:
+#: Units that are given to the library as one text, and texts that are given to it at once.
+ROW, ROWS = 5_000, 8
+
+
+def token_lengths(tokenizer) -> np.ndarray:
+    """Bytes of text of every id: a character of a byte-level token is a byte, added tokens are as written."""
+    lengths = {i: len(token) for token, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+    lengths |= {i: len(token.content.encode()) for i, token in tokenizer.get_added_tokens_decoder().items()}
+    table = np.zeros(max(lengths, default=-1) + 1, np.int64)
+    table[list(lengths)] = list(lengths.values())
+    return table
+
+
+def _encode_units(tokenizer, lengths: np.ndarray, missing: list[str]) -> list[bytes]:
     """The ids of units, which are given to the library in rows of many where they stand apart.
 
     A unit that begins with white space and ends without it is tokenized after another such unit as
-    it is alone; the others are given one by one.
+    it is alone; the others are given one by one. Where a unit ends among the ids of its row follows
+    from the lengths of the tokens.
     """
     out: dict[str, bytes] = {}
     apart = [unit for unit in missing if unit[0] in BLANKS and unit[-1] not in BLANKS]
-    for start in range(0, len(apart), 5_000):
-        row = apart[start : start + 5_000]
-        found = tokenizer.encode("".join(row), add_special_tokens=False)
-        ids = array("I", found.ids).tobytes()
-        begins = np.fromiter((offset[0] for offset in found.offsets), np.int64, len(ids) // 4)
-        ends = np.cumsum(np.fromiter(map(len, row), np.int64, len(row)))
-        cuts = (4 * np.searchsorted(begins, ends)).tolist()
-        out.update(zip(row, (ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+    rows = [apart[start : start + ROW] for start in range(0, len(apart), ROW)]
+    for start in range(0, len(rows), ROWS):
+        part = rows[start : start + ROWS]
+        encoded = tokenizer.encode_batch_fast(["".join(row) for row in part], add_special_tokens=False)
+        for row, found in zip(part, encoded, strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(unit.encode()) for unit in row), np.int64, len(row)))
+            bounds = np.cumsum(lengths[ids])
+            cuts = np.searchsorted(bounds, ends) + 1
+            if cuts[-1] != len(ids) or (bounds[cuts - 1] != ends).any():
+                continue  # a token runs over the end of a unit: these are given one by one
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            out.update(zip(row, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
     rest = [unit for unit in missing if unit not in out]
     alone = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
     out.update(zip(rest, (array("I", found.ids).tobytes() for found in alone), strict=True))
@@ -67,7 +86,8 @@ def _encode_units(tokenizer, missing: list[str]) -> list[bytes]:
 @cache
 def _memory(path: str) -> Memory:
     tokenizer = load(path)
-    return Memory(lambda missing: _encode_units(tokenizer, missing))
+    lengths = token_lengths(tokenizer)
+    return Memory(lambda missing: _encode_units(tokenizer, lengths, missing))
 
 
 def _tokenize(path: str, end: int):
