@@ -23,10 +23,13 @@ _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the session's checkpoint folder, which driver and executors share.
 
-    Only where the session has none (tests) one is made on this machine and set.
+    Where the session has none, a local session (tests) gets one on this machine; on a cluster
+    such a folder would not be shared, so that is an error.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_SETTING} is not set")
         root = "file://" + tempfile.mkdtemp(prefix="evalspark-")
         spark.conf.set(CHECKPOINT_SETTING, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

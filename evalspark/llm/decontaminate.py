@@ -2,13 +2,14 @@
 
 A window is 13 consecutive words of an item, or the whole of a shorter item. The hashes of all
 windows form the set; it is shipped with the tasks while it has at most ``SET_LIMIT`` hashes
-(one count decides), beyond that the windows of the documents are joined with it instead. The
+of 8 bytes (one count decides). Beyond that the hashes of the documents' windows are joined with it,
+by broadcast if its stored size is below Spark's limit, else by a shuffle of hashes. The
 positions whose window hash is in the set are verified word by word, so a collision of hashes
 changes nothing. Everything is DataFrame functions.
 
 Null and empty texts have no words; an item without words has no windows. Repeated item rows
-are one item, repeated document rows must have their own doc_id. Documents and benchmark may
-have any other columns.
+are one item. Every document row is judged by itself, whatever its doc_id: null and repeated ids
+give a row each. Documents and benchmark may have any other columns.
 """
 
 from __future__ import annotations
@@ -61,47 +62,79 @@ def _spots(words: Column, size: int, known: list[int] | None) -> Column:
 
 
 def window_hits(docs: DataFrame, grams: DataFrame, set_limit: int = SET_LIMIT) -> DataFrame:
-    """(doc_id, n_words, at, size, item_id), verified; at is NULL for a document without a hit."""
+    """(row, doc_id, text_key, n_words, spots, items): a row for every document row, hits verified.
+
+    ``spots`` are the (at, size) of the windows that occur in an item, ``items`` the items' ids, both
+    maybe with repeats. A window's items are put together before they meet the documents.
+    """
     sizes = [row[0] for row in grams.select("size").distinct().orderBy("size").collect()]  # at most WINDOW
-    hashes = grams.select("size", "h").distinct()
+    hashes = stored(grams.select("size", "h").distinct(), "window-hashes")
     small = hashes.limit(set_limit + 1).count() <= set_limit
     known = {}
     for size, h in hashes.collect() if small else []:
         known.setdefault(size, []).append(h)
-    texts = compute_once(docs.select("doc_id", "text"), {"words": plain_words(F.col("text"))}, ("text",))
-    hits = [_spots(F.col("words"), size, known.get(size) if small else None) for size in sizes]
-    none = F.array().cast("array<struct<at:int,size:int,gram:array<string>>>")
-    spots = compute_once(
-        texts, {"n_words": F.size("words").cast("long"), "spots": F.concat(none, *hits)}, ("words",)
-    )
-    found = spots.select("doc_id", "n_words", F.explode_outer("spots").alias("spot"))
-    found = found.select("doc_id", "n_words", "spot.at", "spot.gram", F.xxhash64("spot.gram").alias("h"))
-    wanted = grams.select("item_id", "size", F.col("gram").alias("item_gram"), F.col("h").alias("item_h"))
-    same = (F.col("h") == F.col("item_h")) & (F.col("gram") == F.col("item_gram"))
-    return found.join(F.broadcast(wanted) if small else wanted, same, "left").select(
-        "doc_id", "n_words", F.when(F.col("item_id").isNotNull(), F.col("at")).alias("at"), "size", "item_id"
+    rows = docs.select(
+        "doc_id", F.monotonically_increasing_id().alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), "text"
     )
+    texts = compute_once(rows, {"words": plain_words(F.col("text"))}, ("text",))
+    if small:
+        hits = [_spots(F.col("words"), size, known.get(size)) for size in sizes]
+        none = F.array().cast("array<struct<at:int,size:int,gram:array<string>>>")
+        spots = compute_once(
+            texts, {"n_words": F.size("words").cast("long"), "spots": F.concat(none, *hits)}, ("words",)
+        )
+        found = spots.select("row", "doc_id", "text_key", "n_words", F.explode_outer("spots").alias("spot"))
+        found = found.select("row", "doc_id", "text_key", "n_words", "spot.at", "spot.size", "spot.gram")
+    else:
+        found = _joined_spots(stored(texts, "words"), hashes, sizes)
+    items = F.array_distinct(F.collect_list(F.col("item_id").cast("string"))).alias("items")
+    wanted = grams.groupBy("gram").agg(items).withColumnRenamed("gram", "item_gram")
+    met = found.join(stored(wanted, "window-items"), F.col("gram") == F.col("item_gram"), "left")
+    hit = F.col("items").isNotNull()
+    return met.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"),
+        F.collect_list(F.when(hit, F.struct("at", "size"))).alias("spots"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    )
+
+
+def _joined_spots(texts: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
+    """The spots where a join takes the place of the set: hashes alone are spelled out and shuffled.
+
+    Words come back for the windows that are left, which are joined to their row by its number.
+    """
+    def hashed(size: int) -> Column:
+        return F.transform(_starts(F.col("words"), size), lambda at: F.xxhash64(F.slice("words", at, size)))
+
+    places = [texts.select("row", F.posexplode(hashed(size)).alias("at", "h"), F.lit(size).alias("size")) for size in sizes]
+    if places:
+        every = places[0]
+        for more in places[1:]:
+            every = every.union(more)
+        left = every.join(hashes, ["size", "h"], "left_semi").groupBy("row").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "size")).alias("left"))
+    else:
+        left = texts.select("row", F.array().cast("array<struct<at:int,size:int>>").alias("left")).limit(0)
+    met = texts.join(left, "row", "left").select("row", "doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "words", F.explode_outer("left").alias("spot"))
+    gram = F.when(F.col("spot").isNotNull(), F.slice("words", F.col("spot.at"), F.col("spot.size")))
+    return met.select("row", "doc_id", "text_key", "n_words", "spot.at", "spot.size", gram.alias("gram"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated.
+    """One row per document row: doc_id, n_words, n_hit, n_items, items, spans, contaminated, text_key.
 
     ``items`` are the sorted item ids as text, ``spans`` the sorted (at, end) of the hit windows in
-    words, from 1, end exclusive. A document's own hits are combined before they are shuffled;
-    they are bounded by its words.
+    words, from 1, end exclusive; ``text_key`` is the SHA-256 of the text. A document's own hits are
+    combined before they are shuffled; they are bounded by its words.
     """
     grams = stored(benchmark_windows(benchmark, window), "benchmark")
-    hits = window_hits(docs, grams, set_limit)
-    span = F.struct("at", (F.col("at") + F.col("size")).alias("end"))
-    found = hits.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-        F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), span))).alias("spans"),
+    spans = F.transform("spots", lambda spot: F.struct(spot["at"].alias("at"), (spot["at"] + spot["size"]).alias("end")))
+    found = compute_once(
+        window_hits(docs, grams, set_limit), {"spans": F.sort_array(F.array_distinct(spans)), "sorted": F.sort_array("items")}, ("spots", "items")
     )
     found = compute_once(found, {"n_hit": covered(F.col("spans"))})
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans",
-        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size("sorted").cast("long").alias("n_items"), F.col("sorted").alias("items"), "spans",
+        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "text_key",
     )
 
 
@@ -117,9 +150,14 @@ def covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, all columns as they came."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    """The documents that are not contaminated, all columns as they came.
+
+    Whether a row goes depends on its text alone, so the few texts that go are stored, and rows
+    are held against these by the SHA-256 of their text; ids need not be there or differ.
+    """
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("text_key").alias("bad_key")).distinct()
+    key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(stored(bad, "contaminated"), key == F.col("bad_key"), "left_anti")
 
 
 def op4_benchmark_decontamination(spark, folder: str) -> DataFrame:

@@ -7,8 +7,8 @@ a bitmap of its sources and one of its clusters; a tree over the residuals keeps
 below have in common, so that the search for the tightest bin that fits goes on to the successor
 past whole ranges whose bins all conflict. What fits nowhere opens a bin.
 
-Shards are drawn by a hash of the row, about ``SHARD`` rows each, whatever source or cluster is
-frequent: no task gets more than a shard, only lengths and hashes are moved, and the bins that a
+Shards are drawn by a hash of the row and its number, about ``SHARD`` rows each, whatever source,
+cluster or doc_id is frequent, null ids and repeated rows included: no task gets more than a shard, only lengths and hashes are moved, and the bins that a
 shard leaves part full are few against those it fills. Conflicts concern bins, and a bin lies in
 one shard, so they hold over all.
 
@@ -143,7 +143,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     )
     rows = stored(rows, "lengths")
     shards = max(1, -(-rows.count() // shard))
-    drawn = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards)))
+    number = F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id(), F.lit(17))
+    drawn = rows.withColumn("shard", F.pmod(number, F.lit(shards)))
     return drawn.groupBy("shard").applyInPandas(_pack(capacity), SCHEMA.format("bigint"))
 
 

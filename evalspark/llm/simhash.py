@@ -20,7 +20,7 @@ Components are made by contraction, in shared storage, never on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -80,19 +80,21 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [_signed(fingerprint(text.as_py(), size)) for text in batch.column(1)]
+            prints = [_signed(fingerprint(text.as_py(), size)) for text in batch.column("text")]
+            others = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"]
+                [*(batch.column(name) for name in others), pa.array(prints, pa.int64())], [*others, "print"]
             )
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, print): the fingerprint of every text as a signed 64-bit number."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("binary"))
-    return rows.mapInArrow(_fingerprints(size), f"doc_id {kind}, print bigint")
+def fingerprints(docs: DataFrame, size: int = SHINGLE, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, *carry, print): the fingerprint of every text as a signed 64-bit number."""
+    names = ["doc_id", *carry]
+    schema = ", ".join(f"{name} {docs.schema[name].dataType.simpleString()}" for name in names)
+    rows = docs.select(*names, F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints(size), f"{schema}, print bigint")
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -153,7 +155,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     Null and empty texts have fingerprint zero and are linked like others. ``docs`` may have any
     other columns. Repeated rows of one doc_id with one text are returned as often as they come.
     """
-    prints = stored(fingerprints(docs, size), "fingerprints")
+    return _grouped(docs, size).select("doc_id", "print", "component_id")
+
+
+def _grouped(docs: DataFrame, size: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, *carry, print, root, component_id), ``root`` being the component's own key."""
+    prints = stored(fingerprints(docs, size, carry), "fingerprints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
     classes = stored(classes, "classes")
     roots = components(links(classes))
@@ -161,20 +168,33 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         "print", "first", F.coalesce("root", "print").alias("root")
     )
     lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = placed.join(lowest, "root").select(F.col("print").alias("class"), "component_id")
+    placed = placed.join(lowest, "root").select(F.col("print").alias("class"), "root", "component_id")
     return prints.join(placed, prints["print"] == placed["class"]).select(
-        prints["doc_id"], prints["print"], "component_id"
+        prints["doc_id"], *(prints[name] for name in carry), prints["print"], "root", "component_id"
     )
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row of every component, that of its smallest doc_id, all columns as they came.
 
-    Of repeated rows of one doc_id one stays. Rows without doc_id link others but stay themselves.
+    A component is known by its fingerprints and a row by doc_id and text, so different texts under
+    one doc_id are what their fingerprints make them. Of one doc_id's texts in a component the one
+    with the least SHA-256 stays, of repeated rows one. Rows without doc_id link others but stay
+    themselves. Rows are held against the (doc_id, text) pairs that go, fewer than those that stay.
     """
-    found = near_duplicates(docs, size).where(F.col("doc_id") == F.col("component_id"))
-    first = docs.join(found.select(F.col("doc_id").alias("first_id")), F.col("doc_id") == F.col("first_id"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    known = _grouped(docs.select("doc_id", "text", digest.alias("digest")), size, ["digest"]).where("doc_id IS NOT NULL")
+    rows = stored(known.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")), "rows")
+    keepers = rows.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("stays")).select("root", "stays.*")
+    keepers = stored(keepers, "keepers")
+    pairs = lambda some: some.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    gone = stored(pairs(rows.join(keepers, ["root", "doc_id", "digest"], "left_anti")), "gone")
+    often = stored(pairs(rows.where("n > 1").join(keepers, ["root", "doc_id", "digest"], "left_semi")), "often")
+    same = lambda other: (docs["doc_id"] == other["_id"]) & (digest == other["_digest"])
+    left = docs.join(gone, same(gone), "left_anti")
+    repeated = left.join(often, same(often), "left_semi").withColumn("_digest", digest)
+    repeated = repeated.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return left.join(often, same(often), "left_anti").unionByName(repeated)
 
 
 def hex64(value: Column) -> Column:

@@ -64,6 +64,8 @@ def test_packing_keeps_everything_and_separates(docs, rows, make_docs):
     got = packing.pack(odd).collect()
     assert len(got) == 4 and len({(r.shard, r.bin) for r in got if r.doc_id == 1}) == 2
     assert packing.pack(odd.limit(0)).count() == 0
+    same = packing.pack(make_docs(*[(None, "a b", "en", f"s{i}") for i in range(600)]), shard=20).groupBy("shard").count()
+    assert max(r["count"] for r in same.collect()) < 60
 
 
 # captures
@@ -261,3 +263,38 @@ def test_pipeline(spark, tmp_path, make_docs, rows):
     assert {r.doc_id for r in docs.collect()} == set(left)
     found = corpus_pipeline.run(spark, folder).groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()
     assert {r.doc_id for r in found} == set(left)
+
+
+def test_pipeline_loses_no_document(spark, tmp_path, make_docs):
+    """Null and repeated ids: ids, redacted texts and bins against plain versions of all stages."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    folder = str(tmp_path)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}" for _ in range(n))
+    bad, clean, other, secret = text(13), text(40), text(50), text(20) + ' token = "abcdefghijklmnop" ' + text(9)
+    long = text(2500)
+    table = [(1, clean), (1, other), (1, other), (2, clean), (None, secret), (None, text(15)), (None, bad + " x"), (5, bad), (6, "too short"), (6, long)]
+    docs = [(doc, body, "en", None if i % 2 else f"s{i}") for i, (doc, body) in enumerate(table)]
+    make_docs(*docs).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(9, bad)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    kept = [(1, clean), (1, other), (None, secret), (None, table[5][1]), (6, long)]
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        given = stage(spark, given, folder)
+    redacted = [(doc, body.replace('token = "abcdefghijklmnop', "[secret]")) for doc, body in kept]
+    assert sorted(((r.doc_id, r.text) for r in given.collect()), key=repr) == sorted(redacted, key=repr)
+    found = corpus_pipeline.run(spark, folder).collect()
+    sizes = Counter()
+    for r in found:
+        sizes[r.doc_id] += r.n_words
+    want = Counter()
+    for doc, body in redacted:
+        want[doc] += len(brute.WORD.findall(body))
+    assert sizes == want
+    assert sorted(r.n_words for r in found if r.doc_id == 6) == [452, 1024, 1024]
+    for place in {(r.shard, r.bin) for r in found}:
+        inside = sorted((r.offset, r.n_words) for r in found if (r.shard, r.bin) == place)
+        assert sum(n for _, n in inside) <= packing.CAPACITY
+        assert all(a + n == b for (a, n), (b, _) in zip(inside, inside[1:], strict=False))

@@ -35,6 +35,35 @@ def test_decontamination(spark, docs, rows, items):
     assert {r.doc_id for r in kept.collect()} == {doc for doc, found in want.items() if not found[-1]}
 
 
+def test_decontamination_of_null_and_repeated_ids(spark, make_docs, items, rows):
+    """Every row is judged by itself, by the set and by the join."""
+    text = dict(rows)
+    bad, long = text[9], text[14]
+    table = [(None, bad), (None, None), (None, "clean words"), (1, bad), (1, "clean again"), (1, "clean again"), (2, long), (2, bad + " " + long)]
+    given = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(((doc, *brute.contamination([(0, t)], items)[0]) for doc, t in table), key=repr)
+    for limit in (decontaminate.SET_LIMIT, 3):
+        found = decontaminate.contamination(make_docs(*table), given, set_limit=limit).collect()
+        got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, brute.sha(",".join(r["items"])), r.contaminated) for r in found]
+        assert sorted(got, key=repr) == want
+    kept = decontaminate.decontaminate(make_docs(*table), given)
+    clean = [(doc, t) for doc, t in table if not brute.contamination([(0, t)], items)[0][-1]]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(clean, key=repr)
+
+
+def test_decontamination_with_many_windows(spark, make_docs):
+    """A benchmark of 200,000 windows, of which some items are shared by several ids."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(212))) for i in range(1000)]
+    items += [(5000 + i, items[3][1]) for i in range(20)]
+    docs = [(i, " ".join(f"x{rng.randint(0, 10**6)}" for _ in range(30)) + (" " + " ".join(items[i][1].split()[40:60])) * (i % 2)) for i in range(12)]
+    given = spark.createDataFrame(items, "item_id bigint, text string").repartition(4)
+    found = decontaminate.contamination(make_docs(*docs), given).drop("spans").collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, brute.sha(",".join(r["items"])), r.contaminated) for r in found}
+    assert got == brute.contamination(docs, items)
+    assert got[3][2] == 21 and got[1][1] == 20 and got[2][1] == 0
+
+
 def test_decontamination_empty_tables(spark, docs, make_docs, items):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert all(not r.contaminated and r.n_hit == 0 for r in decontaminate.contamination(docs, none).collect())
@@ -171,6 +200,17 @@ def test_simhash_nulls_and_empty(make_docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_different_texts_of_one_id(make_docs):
+    """A second text under an id is no duplicate unless its fingerprint links it; repeated rows are one."""
+    one, two, three = "one two three four", "seven eight nine ten", "quite another text of more words"
+    table = [(1, one), (1, two), (1, two), (2, one), (3, three), (3, three), (4, two), (None, three), (None, three)]
+    kept = simhash.keep_first(make_docs(*table)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, one), (1, two), (3, three), (None, three), (None, three)], key=repr)
+    empties = simhash.keep_first(make_docs((6, None), (6, ""), (7, ""))).collect()
+    assert [r.doc_id for r in empties] == [6]
+    assert simhash.keep_first(make_docs(*table).limit(0)).count() == 0
+
+
 def test_long_texts_in_blocks(monkeypatch):
     """What is handed out in blocks is what the whole text gives."""
     rng = random.Random(2)
