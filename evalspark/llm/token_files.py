@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.common import read, shared_folder, stored, tasks_for
 from evalspark.llm.token_counts import groups
-from evalspark.llm.vocabulary import BLANK, Memory, load, public_path, units
+from evalspark.llm.vocabulary import BLANK, LONGEST, REMEMBERED, Memory, load, public_path, units
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
 MAX_BITS, CHECKPOINT = 20, 512
@@ -42,7 +42,9 @@ BLANKS = frozenset(re.findall(f"[{BLANK}]", "".join(map(chr, range(1 << 14)))))
 GROUP_IDS = 1_000_000
 
 
-#: Units that are given to the library as one text, and texts that are given to it at once.
+#: Punctuation that is cut off behind a letter.
+TAIL = ".,;:!?"
+#: Parts of units that are given to the library as one text, and texts that are given to it at once.
 ROW, ROWS = 5_000, 8
 
 
@@ -56,38 +58,72 @@ def token_lengths(tokenizer) -> np.ndarray:
 
 
 def _encode_units(tokenizer, lengths: np.ndarray, missing: list[str]) -> list[bytes]:
-    """The ids of units, which are given to the library in rows of many where they stand apart.
-
-    A unit that begins with white space and ends without it is tokenized after another such unit as
-    it is alone; the others are given one by one. Where a unit ends among the ids of its row follows
+    """The ids of units. Punctuation behind a letter is a piece of its own, and is taken off first."""
+    bases = [unit.rstrip(TAIL) for unit in missing]
+    bases = [base if base and base[-1].isalpha() else unit for base, unit in zip(bases, missing, strict=True)]
+    parts = set(bases)
+    parts.update(unit[len(base) :] for base, unit in zip(bases, missing, strict=True))
+    parts.discard("")
+    ids = _encode_parts(tokenizer, lengths, list(parts))
+    ids[""] = b""
+    return [ids[base] + ids[unit[len(base) :]] for base, unit in zip(bases, missing, strict=True)]
+
+
+def _encode_parts(tokenizer, lengths: np.ndarray, parts: list[str]) -> dict[str, bytes]:
+    """The ids of parts, which are given to the library in rows of many where they stand apart.
+
+    A part that begins with white space and ends without it is tokenized after another such part as
+    it is alone; the others are given one by one. Where a part ends among the ids of its row follows
     from the lengths of the tokens.
     """
     out: dict[str, bytes] = {}
-    apart = [unit for unit in missing if unit[0] in BLANKS and unit[-1] not in BLANKS]
+    apart = [part for part in parts if part[0] in BLANKS and part[-1] not in BLANKS]
     rows = [apart[start : start + ROW] for start in range(0, len(apart), ROW)]
     for start in range(0, len(rows), ROWS):
-        part = rows[start : start + ROWS]
-        encoded = tokenizer.encode_batch_fast(["".join(row) for row in part], add_special_tokens=False)
-        for row, found in zip(part, encoded, strict=True):
+        some = rows[start : start + ROWS]
+        texts = ["".join(row) for row in some]
+        for row, text, found in zip(some, texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(unit.encode()) for unit in row), np.int64, len(row)))
+            sizes = map(len, row) if text.isascii() else (len(part.encode()) for part in row)
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(row)))
             bounds = np.cumsum(lengths[ids])
             cuts = np.searchsorted(bounds, ends) + 1
             if cuts[-1] != len(ids) or (bounds[cuts - 1] != ends).any():
-                continue  # a token runs over the end of a unit: these are given one by one
+                continue  # a token runs over the end of a part: these are given one by one
             data, cuts = ids.tobytes(), (4 * cuts).tolist()
             out.update(zip(row, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
-    rest = [unit for unit in missing if unit not in out]
+    rest = [part for part in parts if part not in out]
     alone = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
     out.update(zip(rest, (array("I", found.ids).tobytes() for found in alone), strict=True))
-    return [out[unit] for unit in missing]
+    return out
+
+
+class Ids(Memory):
+    """Unit -> its ids; texts are looked up whole, when all their units are there."""
+
+    def joined(self, texts: list[list[str]], last: bytes) -> list[bytes]:
+        """The ids of every text, and ``last`` behind them."""
+        needed = set().union(*texts)
+        missing = needed.difference(self)
+        if len(self) + len(missing) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+            missing = needed
+        self.update((unit, self.older[unit]) for unit in missing & self.older.keys())
+        missing = list(missing.difference(self))
+        self.update(zip(missing, self.make(missing), strict=True))
+        found = [b"".join(map(self.__getitem__, text)) + last for text in texts]
+        for unit in missing:
+            if len(unit) > LONGEST:
+                del self[unit]
+        return found
 
 
 @cache
-def _memory(path: str) -> Memory:
+def _memory(path: str) -> Ids:
     tokenizer = load(path)
     lengths = token_lengths(tokenizer)
-    return Memory(lambda missing: _encode_units(tokenizer, lengths, missing))
+    return Ids(lambda missing: _encode_units(tokenizer, lengths, missing))
 
 
 def _tokenize(path: str, end: int):
@@ -97,8 +133,7 @@ def _tokenize(path: str, end: int):
         for batch in batches:
             texts = [text or "" for text in batch.column(1).to_pylist()]
             for rows in groups(texts):
-                parts = _memory(path).values_of([units(text) for text in texts[rows]])
-                ids = [b"".join(own) + last for own in parts]
+                ids = _memory(path).joined([units(text) for text in texts[rows]], last)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[rows], pa.array([zlib.crc32(x) for x in ids], pa.int64()),
