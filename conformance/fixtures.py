@@ -166,7 +166,7 @@ class Fixtures:
 
         Outputs are joined to the last attempts only, not to all of them.
         """
-        narrow = reduce_attempts(self.attempts(), ATTEMPT_ORDER)
+        narrow = reduce_attempts(self.attempts(with_output=False), ATTEMPT_ORDER)
         if not with_output:
             return narrow
         doc_count = self.table("documents").agg(F.count("*")).scalar()

@@ -2,8 +2,8 @@
 
 A validator is a function from the output column to a struct; rules bind validators to task
 patterns, and a task gets the first rule that matches it. Substring checks and manual review
-are plain expressions. Python functions run in one Arrow-batched UDF, which gets the rows with a
-Python rule and no others.
+are plain expressions. Python functions run in one Arrow-batched UDF in the same pass; of rows with
+another kind of rule it gets a NULL.
 """
 
 from __future__ import annotations
@@ -116,9 +116,11 @@ def _run_checks(checks: dict[int, Callable[[str], Any]], at_once: int):
     async def all_of(rules: pd.Series, outputs: pd.Series) -> list[tuple]:
         free = asyncio.Semaphore(at_once)
 
-        async def one(rule: int, output: str) -> tuple:
+        async def one(rule: float | None, output: str | None) -> tuple:
+            if output is None:  # a row with another kind of rule
+                return (None,) * len(OUTCOME)
             async with free:
-                return await _outcome(checks[rule], output)
+                return await _outcome(checks[int(rule)], output)
 
         return await asyncio.gather(*map(one, rules, outputs))
 
@@ -147,7 +149,7 @@ def validate_outputs(
 
     A NULL output counts as empty text. A failed run, and a task without a rule, get no
     validation; a failing validator also sets ``error``. Patterns are matched on the tasks, so
-    only a rule number is joined to the outputs. Only rows with a Python rule go to Python, once;
+    only a rule number is joined to the outputs. Only outputs with a Python rule go to Python, once;
     ``at_once`` of the checks of an Arrow batch may wait for something at a time.
     """
     others = [name for name in outputs.columns if name not in ("output", "error")]
@@ -160,11 +162,12 @@ def validate_outputs(
         if at not in checks:
             applies = F.col("error").isNull() & (F.col("rule") == at)
             chosen = F.when(applies, rule.validator(F.when(applies, F.col("output")))).otherwise(chosen)
-    checked = ruled.withColumn("_outcome", chosen)
     if checks:
-        in_python = F.coalesce(F.col("error").isNull() & F.col("rule").isin(list(checks)), F.lit(False))
-        found = _run_checks(checks, at_once)(F.col("rule"), F.col("output"))
-        checked = checked.filter(~in_python).unionByName(ruled.filter(in_python).withColumn("_outcome", found))
+        in_python = F.col("error").isNull() & F.col("rule").isin(list(checks))
+        found = _run_checks(checks, at_once)(F.when(in_python, F.col("rule")), F.when(in_python, F.col("output")))
+        ruled = ruled.withColumn("_found", found)
+        chosen = F.when(in_python, F.col("_found")).otherwise(chosen)
+    checked = ruled.withColumn("_outcome", chosen)
     return checked.select(
         *others,
         "output",

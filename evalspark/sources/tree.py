@@ -1,8 +1,9 @@
 """Task trees: directories with a prompt document each, leaves with messages.
 
 The functions work on tables with a ``directory`` column (relative, ``a/b/c``), so a tree can
-be read from files or come from any table. Limits of a file listing: directories without any
-file below them, files of length zero, and names that start with ``_`` are not seen.
+be walked (``scan_tree``, ``scan_problems``; see ``walk``) or come from any table. ``list_files`` and
+``read_prompts`` read it with Spark's own file sources, for stores that only these can open; those do not
+see directories without any file below them, files of length zero, and names that start with ``_``.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.identity import with_identity
-from evalspark.session import materialized
+from evalspark.sources import walk
 from evalspark.sources.prompts import parse_prompts
+from evalspark.sources.walk import DESCRIPTION_FILE, VALIDATOR_FILE
 
-DESCRIPTION_FILE = "description.md"
-VALIDATOR_FILE = "validate.py"
 #: A line at the left margin that defines, assigns or imports the name ``validate``.
 VALIDATOR_NAME = (
     r"(?m)^(?:(?:(?:async[ \t]+)?def|class)[ \t]+validate\b|validate[ \t]*[:=](?!=)"
@@ -29,6 +29,9 @@ VALIDATOR_NAME = (
 # Values of ``kind`` in a problem table; the last is a warning, the others are failures.
 NOT_A_DIRECTORY = "root is not a directory"
 MISSING_DESCRIPTION = "missing description"
+UNREADABLE_DIRECTORY = "unreadable directory"
+UNREADABLE_DESCRIPTION = "unreadable description"
+UNREADABLE_VALIDATOR = "unreadable validator"
 NO_SUBDIRECTORIES = "no subdirectories"
 
 
@@ -232,31 +235,45 @@ def tree_problems(prompts: DataFrame, directories: DataFrame) -> DataFrame:
     return problems.join(parents, ["directory", "kind"], "left_anti")
 
 
-def scan_problems(spark: SparkSession, root: str) -> DataFrame:
-    """(directory, kind) for a tree of files."""
-    return _scan_problems(list_files(spark, root), read_prompts(spark, root))
+def walked_problems(walked: DataFrame) -> DataFrame:
+    """(directory, kind) for the rows of ``walk_tree``."""
+    is_leaf = F.size("messages") > 0
+    root = F.when(F.col("state") != walk.FOUND, NOT_A_DIRECTORY)
+    inner = (
+        F.when(F.col("state") != walk.FOUND, UNREADABLE_DIRECTORY)
+        .when(F.col("prompt") == walk.MISSING, MISSING_DESCRIPTION)
+        .when(F.col("prompt") == walk.UNREADABLE, UNREADABLE_DESCRIPTION)
+        .when(F.col("parse_error").isNotNull(), F.col("parse_error"))
+        .when(is_leaf & F.col("validator").isin(walk.BROKEN, walk.UNREADABLE), UNREADABLE_VALIDATOR)
+        .when(~is_leaf & (F.size("subdirectories") == 0), NO_SUBDIRECTORIES)
+    )
+    kind = F.when(F.col("directory") == "", root).otherwise(inner)
+    return walked.select("directory", kind.alias("kind")).filter("kind IS NOT NULL")
 
 
-def _scan_problems(files: DataFrame, prompts: DataFrame) -> DataFrame:
-    wrong_root = files.filter(F.col("path") == "").select(
-        F.lit("").alias("directory"), F.lit(NOT_A_DIRECTORY).alias("kind")
-    )
-    return tree_problems(prompts, list_directories(files)).union(wrong_root)
+def walked_prompts(walked: DataFrame) -> DataFrame:
+    """(directory, id, messages, parse_error) of the directories with a prompt."""
+    readable = (F.col("directory") != "") & (F.col("prompt") == walk.FOUND)
+    return walked.filter(readable).select("directory", "id", "messages", "parse_error")
+
+
+def scan_problems(spark: SparkSession, root: str) -> DataFrame:
+    """(directory, kind) for a tree of files."""
+    return walked_problems(walk.walk_tree(spark, root))
 
 
 def scan_tree(spark: SparkSession, root: str, strict: bool = True, ordered: bool = True) -> DataFrame:
     """The task table of a tree of files.
 
-    ``strict`` looks for failures first (one job, of which only the first one is kept) and
-    raises TreeError; otherwise unreadable parts of the tree are left out. The documents are
-    small files and slow to read, so they are read and parsed once where the cluster has a
-    checkpoint folder.
+    The tree is walked on the executors; each directory is read and parsed once where the
+    cluster has a checkpoint folder. ``strict`` looks for failures first (one job, of which only the first one is kept)
+    and raises TreeError; otherwise unreadable parts of the tree are left out.
     """
-    files = list_files(spark, root)
-    prompts = materialized(read_prompts(spark, root))
+    walked = walk.walk_tree(spark, root)
     if strict:
-        failures = _scan_problems(files, prompts).filter(F.col("kind") != NO_SUBDIRECTORIES)
+        failures = walked_problems(walked).filter(F.col("kind") != NO_SUBDIRECTORIES)
         first = failures.orderBy(_parts(F.col("directory"))).limit(1).collect()
         if first:
             raise TreeError(f"{first[0]['kind']}: {root}/{first[0]['directory']}".rstrip("/"))
-    return build_tasks(prompts, read_validators(spark, root), root, ordered)
+    marks = walked.filter(F.col("validator") == walk.FOUND).select("directory")
+    return build_tasks(walked_prompts(walked), marks, root, ordered)

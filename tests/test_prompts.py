@@ -129,3 +129,40 @@ def test_filters_do_not_repeat_the_parse(spark):
     plan = plan_of(parse_prompts(rows).filter("size(messages) > 0 AND id <> 'x'"))
     assert len(re.findall(r"split\(", plan)) <= 2
     assert "Python" not in plan
+
+
+def random_head(rng):
+    """Frontmatter with an id in some form, among other keys in others."""
+    ids = [
+        "plain", "two words", "'single ''quoted'''", '"double"', '"esc\\u00e9 \\"q\\" \\n"', "&a anchored", "!!str 5", "!!str tagged", "5", "null",
+        "2024-01-01", "yes", "|\n  block\n  text", ">-\n  folded\n  text", "[a, b]", "{a: b}", "goes\n  on", "x # note", "a: b", "'open", "*a", "@x", "1_000", "0x1F", ".5", "~", "",
+    ]
+    others = [
+        "title: A name", "tags: [a, b,\n  c]", "tags:\n- a\n- b", "tags:\n  - a\n  - b", "'quoted key': 1", '"k": v', "text: |\n  id: not this\n\n  more",
+        "map: {id: inner, x: 1}", "nested:\n  id: inner", "# a note", "", "anchor: &x 1", "note: 'a\n  id: b'",
+    ]
+    key = rng.choice(["id", "id", "id", "id", '"id"', "'id'", "id ", "Id"])
+    lines = [rng.choice(others) for _ in range(rng.randint(0, 3))] + [f"{key}: {rng.choice(ids)}"]
+    rng.shuffle(lines)
+    return "\n".join(lines)
+
+
+def test_heads_agree_with_a_yaml_library(spark):
+    """500 generated heads: the library decides what expressions cannot; where they can, they agree with it."""
+    import random
+
+    from evalspark.sources.prompts import UNSUPPORTED_FRONTMATTER, head_id
+
+    rng = random.Random(11)
+    heads = [random_head(rng).strip() for _ in range(500)]
+    table = spark.createDataFrame([(at, f"---\n{head}\n---\n# User\nhi\n") for at, head in enumerate(heads)], "n int, text string")
+    native = {row.n: row for row in parse_prompts(table).collect()}
+    whole = {row.n: row for row in parse_prompts(table, yaml=True).collect()}
+    plain = 0
+    for at, head in enumerate(heads):
+        found, reason = head_id(head)
+        assert (whole[at].id, whole[at].parse_error is None) == (found, reason is None), head
+        if native[at].parse_error != UNSUPPORTED_FRONTMATTER:
+            assert (native[at].id, native[at].parse_error is None) == (found, reason is None), head
+            plain += 1
+    assert 100 < plain < 450

@@ -133,3 +133,55 @@ def test_wrong_roots(spark, tmp_path):
     (tmp_path / "file.txt").write_text("x")
     with pytest.raises(TreeError, match="not a directory"):
         scan_tree(spark, str(tmp_path / "file.txt"))
+
+
+def test_what_a_file_listing_does_not_show(spark, tmp_path):
+    """Underscore folders, empty files, directories without files, files that cannot be decoded."""
+    root = write(
+        tmp_path,
+        {
+            "_a/description.md": node("A"),
+            "_a/_t/description.md": node("t", LEAF),
+            "_a/empty/description.md": "",
+            "b/description.md": node("b"),
+            "c/description.md": node("c", LEAF),
+            "c/validate.py": "def validate(output:",
+        },
+    )
+    (tmp_path / "_a" / "bare" / "deeper").mkdir(parents=True)
+    (tmp_path / "b" / ".only").mkdir()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "description.md").write_bytes(b"---\nid: \xff\n---\n")
+    (tmp_path / "e" / "description.md").mkdir(parents=True)
+    assert rows_of(scan_problems(spark, root)) == [
+        ("_a/bare", MISSING_DESCRIPTION),
+        ("_a/bare/deeper", MISSING_DESCRIPTION),
+        ("_a/empty", "invalid id"),
+        ("c", "unreadable validator"),
+        ("d", "unreadable description"),
+        ("e", "unreadable description"),
+        ("e/description.md", MISSING_DESCRIPTION),
+    ]
+    assert [t.id_chain for t in scan_tree(spark, f"file://{root}", strict=False).collect()] == [["A", "t"], ["c"]]
+
+
+def test_nothing_below_a_leaf_is_walked(spark, good_tree):
+    from evalspark.sources.walk import walk_tree
+
+    walked = {row.directory for row in walk_tree(spark, good_tree).collect()}
+    assert walked == {"", "cat", "cat/deep", "cat/deep/x y", "cat-b", "cat-b/t1", "cat-b/t10", "top"}
+
+
+@pytest.mark.parametrize(
+    "source, state",
+    [
+        ("def validate(o): ...", "found"), ("if True:\n    async def validate(o): ...", "found"),
+        ("try:\n    import fast as validate\nexcept ImportError:\n    pass", "found"), ("(other, validate) = 1, 2", "found"),
+        ("validate: int", "nameless"), ("x = 'validate'\ndef f():\n    validate = 1", "nameless"), ("import validate.part", "found"),
+        ("def validate(", "broken"), ("", "nameless"),
+    ],
+)
+def test_validator_states(source, state):
+    from evalspark.sources.walk import validator_state
+
+    assert validator_state(source.encode()) == state

@@ -158,12 +158,19 @@ def test_a_small_batch_does_not_shuffle_the_table(spark, make_attempts, tmp_path
     )
     stored.write.parquet(str(tmp_path / "runs"))
     table = spark.read.parquet(str(tmp_path / "runs"))
-    attempts = make_attempts({"task_id": "t", "model": "m", "output": "new"})
-    batch = reduce_attempts(attempts, ["at"]).filter("execution_id IS NOT NULL")
-    batch.write.parquet(str(tmp_path / "batch"))
-    merged = merge_runs(table, spark.read.parquet(str(tmp_path / "batch")))
-    assert len(merged.collect()) == 2001
-    lines = plan_of(merged).split("== Initial Plan ==")[0].splitlines()
+    # one key that is known and one that is new, so that neither join is found empty as it runs
+    batch = reduce_attempts(make_attempts({"task_id": "t", "model": "m", "output": "new"}), ["at"])
+    known = batch.withColumn("execution_id", F.lit("e7"))
+    batch.unionByName(known).coalesce(1).write.parquet(str(tmp_path / "batch"))
+    setting = "spark.sql.maxMetadataStringLength"  # plans shorten paths to this
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    try:
+        merged = merge_runs(table, spark.read.parquet(str(tmp_path / "batch")))
+        assert len(merged.collect()) == 2001
+        lines = plan_of(merged).split("== Initial Plan ==")[0].splitlines()
+    finally:
+        spark.conf.set(setting, before)
     depth = lambda line: len(line) - len(line.lstrip(" :+-"))
     scans = [at for at, line in enumerate(lines) if "FileScan" in line and "/runs]" in line]
     assert len(scans) == 2
