@@ -221,6 +221,23 @@ class Fixtures:
             F.element_at(F.array(*names), (key % len(names)).cast("int") + 1).alias("name")
         )
 
+    @cached_property
+    def rules(self) -> DataFrame:
+        """A rule table: one rule for every fourth conversation by its whole chain, one per group by a
+        segment inside, and one for a category; some tasks have none."""
+        own = self.conversations.filter("conv_id % 4 = 0").selectExpr(
+            "conv_id AS rule", "array_join(id_chain, '::') AS pattern", "'contains' AS kind",
+            "element_at(array('the', 'an', 'of'), int(conv_id % 3) + 1) AS argument", "CAST(NULL AS STRING) AS reason",
+        )
+        groups = self.conversations.filter("size(id_chain) = 3").selectExpr("id_chain[1] AS name").distinct().selectExpr(
+            "1000000000000 + bigint(substring(name, 5)) AS rule", "concat('**::', name, '::**') AS pattern", "'contains' AS kind",
+            "'the' AS argument", "'not found' AS reason",
+        )
+        category = self.conversations.selectExpr("id_chain[0] AS name").distinct().filter("name = 'cat_1'").selectExpr(
+            "2000000000000 AS rule", "concat(name, '::conv_*') AS pattern", "'manual' AS kind", f"'{RUBRIC}' AS argument", "CAST(NULL AS STRING) AS reason"
+        )
+        return own.unionByName(groups).unionByName(category)
+
     # -- prompt documents ----------------------------------------------------------------
 
     @cached_property

@@ -177,7 +177,21 @@ def _validated(passed: str, score: str, reason: str, pending: str = "FALSE", rub
     FROM fx_runs r JOIN fx_tasks t USING (task_id)"""
 
 
+# the first rule: one of its own, of its group, of its category, or none
+_WORD = "CASE WHEN conv_id % 4 = 0 THEN ['the', 'an', 'of'][conv_id % 3 + 1] WHEN len(id_chain) = 3 THEN 'the' END"
+_BY_HAND = "len(id_chain) = 2 AND id_chain[1] = 'cat_1'"
+
 _QUERIES = {
+    "validate_rule_table": _validated(
+        f"contains(output, {_WORD})",
+        f"CASE WHEN contains(output, {_WORD}) THEN 1.0::DOUBLE WHEN {_WORD} IS NOT NULL OR {_BY_HAND} THEN 0.0::DOUBLE END",
+        f"CASE WHEN contains(output, {_WORD}) THEN NULL WHEN conv_id % 4 = 0 THEN 'Missing ''' || {_WORD} || '''' WHEN len(id_chain) = 3 THEN 'not found' END",
+        pending=_BY_HAND,
+        rubric=f"CASE WHEN {_BY_HAND} THEN '{RUBRIC}' END",
+    ),
+    "match_rule_table": """SELECT task_id, conv_id AS rule, chain AS pattern FROM fx_tasks WHERE conv_id % 4 = 0
+      UNION ALL SELECT task_id, 1000000000000 + CAST(substr(id_chain[2], 5) AS BIGINT), '**::' || id_chain[2] || '::**' FROM fx_tasks WHERE len(id_chain) = 3
+      UNION ALL SELECT task_id, 2000000000000, 'cat_1::conv_*' FROM fx_tasks WHERE len(id_chain) = 2 AND id_chain[1] = 'cat_1'""",
     "messages_hashes": "SELECT conv_id, messages_hash FROM fx_tasks",
     "task_ids": "SELECT conv_id, task_id, display_name FROM fx_tasks",
     "execution_ids": """SELECT task_id, model, sha256(task_id || '::' || model) AS execution_id
@@ -347,6 +361,7 @@ _FLAGGED = (
     "validate_manual",
     "validate_judge",
     "validate_python",
+    "validate_rule_table",
 )
 
 ORACLE = {

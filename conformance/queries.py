@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from conformance.fixtures import ATTEMPT_ORDER, MODEL_NAMES, RUBRIC, Fixtures, stamp
 from evalspark.functions.globs import matches
 from evalspark.functions.identity import chain_text, messages_hash, name_or_id, short_model
-from evalspark.operators import cleanup, grading, migrations, models, runs, upsert, validators
+from evalspark.operators import cleanup, grading, migrations, models, rules, runs, upsert, validators
 from evalspark.operators.migrations import migrate_runs
 from evalspark.plans import summaries
 from evalspark.sources import prompts, tree
@@ -426,6 +426,19 @@ def validate_python(fx: Fixtures) -> DataFrame:
     return validation_rows(validators.validate_outputs(outputs, fx.tasks, rules))
 
 
+@query
+def validate_rule_table(fx: Fixtures) -> DataFrame:
+    """Rules that grow with the tasks, as rows."""
+    outputs = fx.runs(with_output=True).select("execution_id", "task_id", "output", "error")
+    return validation_rows(rules.validate_by_rules(outputs, fx.tasks, fx.rules))
+
+
+@query
+def match_rule_table(fx: Fixtures) -> DataFrame:
+    """Every task with every rule whose pattern matches it."""
+    return rules.match_patterns(fx.tasks, fx.rules.select("rule", "pattern"))
+
+
 # -- the store itself --------------------------------------------------------------------
 
 

@@ -41,6 +41,7 @@ from evalspark.operators.migrations import (
     record_version,
 )
 from evalspark.operators.models import model_aliases, resolve_models, unresolved_models
+from evalspark.operators.rules import filter_by_patterns, first_rules, match_patterns, validate_by_rules
 from evalspark.operators.runs import (
     cache_counts,
     existing_executions,
