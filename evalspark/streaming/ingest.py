@@ -113,7 +113,13 @@ def log_position(spark: SparkSession, log: str) -> dict[str, int]:
 
 def _log_rows(spark: SparkSession, log: str) -> DataFrame:
     parts = [T.StructField(ARRIVED, T.TimestampNTZType()), T.StructField(STREAM, T.StringType()), T.StructField(BATCH, T.LongType())]
-    return spark.read.schema(T.StructType([*TASK_RUNS.fields, *parts])).parquet(log)
+    schema = T.StructType([*TASK_RUNS.fields, *parts])
+    try:
+        return spark.read.schema(schema).parquet(log)
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # no batch has come yet
 
 
 def read_log(

@@ -124,3 +124,11 @@ def test_reports_read_what_they_need(spark, make_attempts, make_runs, tmp_path):
     some = current_runs(spark.read.parquet(base), log, tasks=["t", "w"])
     assert rows_of(some, "task_id", "output") == [("t", "four"), ("w", "base")]
     assert all("task_id" in line for line in plan_of(some).splitlines() if "PushedFilters" in line)
+
+
+def test_a_log_without_a_batch_is_empty(spark, make_runs, tmp_path):
+    log = str(tmp_path / "log")
+    base = make_runs({"task_id": "t", "model": "m"})
+    assert log_position(spark, log) == {}
+    assert read_log(spark, log).count() == 0
+    assert rows_of(current_runs(base, log, after=3), "task_id", "model") == [("t", "m")]
