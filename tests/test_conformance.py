@@ -31,7 +31,9 @@ def test_query(spark, db, name):
     assert columns == expected_columns
     assert found == expected
     plan = plan_of(frame)
-    python = () if name == "validate_python" else ("EvalPython", "InPandas")
+    # checks in Python, and the compilation of a table of patterns, are Arrow-batched functions
+    in_python = ("validate_python", "validate_rule_table", "match_rule_table")
+    python = () if name in in_python else ("EvalPython", "InPandas")
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", *python):
         assert unwanted not in plan
 
