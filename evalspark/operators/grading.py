@@ -58,15 +58,8 @@ def rejected_grades(grades: DataFrame) -> DataFrame:
     return grades.filter(~F.coalesce(F.col("score").isin(*SCORES), F.lit(False)))
 
 
-def apply_grades(
-    runs: DataFrame, grades: DataFrame, order_by: Sequence[str | Column], strict: bool = False
-) -> DataFrame:
-    """Set passed, score and reason of the graded runs and end their pending state.
-
-    ``grades`` has execution_id, score, reason; the last one per run counts. Any run can be
-    graded, not only a pending one. A score outside the three fails the job when ``strict``;
-    otherwise the grade is left out (see ``rejected_grades``).
-    """
+def latest_grades(grades: DataFrame, order_by: Sequence[str | Column], strict: bool = False) -> DataFrame:
+    """(_key, _grade): the last grade of each run, with its score and reason; see ``apply_grades``."""
     allowed = F.coalesce(F.col("score").isin(*SCORES), F.lit(False))
     if strict:
         given = F.coalesce(F.col("score").cast("string"), F.lit("none"))
@@ -75,9 +68,21 @@ def apply_grades(
     else:
         grades = grades.filter(allowed)
     order = F.struct(*order_by)
-    latest = grades.groupBy(F.col("execution_id").alias("_key")).agg(
+    return grades.groupBy(F.col("execution_id").alias("_key")).agg(
         F.max_by(F.struct("score", "reason"), order).alias("_grade")
     )
+
+
+def apply_grades(
+    runs: DataFrame, grades: DataFrame, order_by: Sequence[str | Column], strict: bool = False
+) -> DataFrame:
+    """Set passed, score and reason of the graded runs and end their pending state.
+
+    ``grades`` has execution_id, score, reason; the last one per run counts. Any run can be
+    graded, not only a pending one. A score outside the three fails the job when ``strict``;
+    otherwise the grade is left out (see ``rejected_grades``).
+    """
+    latest = latest_grades(grades, order_by, strict)
     graded = F.col("_key").isNotNull()
     new_values = {
         "validation_passed": F.col("_grade.score") == F.lit(1.0),

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CURRENT_VERSION = "0.2.0"
@@ -39,8 +42,7 @@ def pending_upgrades(
 def migrate_runs(runs: DataFrame, current: str | None = None) -> DataFrame:
     """Bring a run table up to date. Columns that are there stay, so repeating it is harmless."""
     for version in pending_upgrades(current, runs.columns):
-        missing = {name: F.expr(value) for name, value in ADDED[version].items() if name not in runs.columns}
-        runs = runs.withColumns(missing) if missing else runs
+        runs = add_columns(runs, version)
     return runs
 
 
@@ -61,3 +63,72 @@ def latest_version(versions: DataFrame) -> DataFrame:
 def current_version(versions: DataFrame | None) -> str | None:
     """The version applied last; None for a store without a version table or row."""
     return None if versions is None else latest_version(versions).first()["version"]
+
+
+# -- upgrade steps -----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Step:
+    """What a version does to a table: new columns, renames, values computed from others, anything."""
+
+    version: str
+    description: str
+    apply: Callable[[DataFrame], DataFrame]
+
+
+def adding(version: str) -> Step:
+    """The step that adds the columns a version added, where they are missing."""
+    return Step(version, f"new columns of {version}", lambda runs: add_columns(runs, version))
+
+
+def add_columns(runs: DataFrame, version: str) -> DataFrame:
+    missing = {name: F.expr(value) for name, value in ADDED[version].items() if name not in runs.columns}
+    return runs.withColumns(missing) if missing else runs
+
+
+STEPS = tuple(adding(version) for version in sorted(ADDED, key=version_order))
+
+
+def pending_steps(current: str | None, steps: Sequence[Step] = STEPS) -> list[Step]:
+    """The steps above a version, oldest first; all of them for a store without a version."""
+    at = version_order(current or UNVERSIONED)
+    found = sorted((step for step in steps if version_order(step.version) > at), key=lambda step: version_order(step.version))
+    if len({version_order(step.version) for step in found}) < len(found):
+        raise ValueError("two steps have one version")
+    return found
+
+
+def upgrade_history(spark: SparkSession, store: str) -> DataFrame:
+    """(version, applied_at, description): the steps that a store has been through."""
+    schema = "version string, applied_at timestamp_ntz, description string"
+    try:
+        return spark.read.schema(schema).parquet(f"{store}/history/*")
+    except AnalysisException as failure:
+        if failure.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def upgrade_table(
+    runs: DataFrame, current: str | None, store: str, steps: Sequence[Step] = STEPS, now: Column | None = None
+) -> DataFrame:
+    """Bring a table from a version through all later steps; ``store`` keeps what each one made.
+
+    A step writes its table to a folder of its version and then its row of the history, one file. So
+    a job that stopped is taken up by calling this again: finished steps are read, the unfinished
+    one is written anew. Without a pending step the table is returned as it is.
+    """
+    spark, stamp = runs.sparkSession, F.current_timestamp() if now is None else now
+    done = {row["version"] for row in upgrade_history(spark, store).select("version").collect()}
+    for step in pending_steps(current, steps):
+        place = f"{store}/tables/{step.version}"
+        if step.version not in done:
+            step.apply(runs).write.mode("overwrite").parquet(place)
+            row = spark.range(1).select(
+                F.lit(step.version).alias("version"), stamp.cast("timestamp_ntz").alias("applied_at"),
+                F.lit(step.description).alias("description"),
+            )
+            row.coalesce(1).write.mode("overwrite").parquet(f"{store}/history/{step.version}")
+        runs = spark.read.parquet(place)
+    return runs

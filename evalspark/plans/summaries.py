@@ -171,6 +171,10 @@ def list_text(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, element), ", "), F.lit("]"))
 
 
+#: Order of the export; the last has no ties.
+EXPORT_ORDER = ("task", "model", "execution_id")
+
+
 def export_rows(runs: DataFrame, tasks: DataFrame, ordered: bool = True) -> DataFrame:
     """The nine columns of the CSV export, failed runs included, by task and model, NULLs last."""
     narrow = runs.select(
@@ -186,7 +190,7 @@ def export_rows(runs: DataFrame, tasks: DataFrame, ordered: bool = True) -> Data
     )
     rows = with_tasks(narrow, tasks, "display_name", "id_chain").withColumnRenamed("display_name", "task")
     if ordered:
-        rows = rows.orderBy(F.asc_nulls_last("task"), F.asc_nulls_last("model"), "execution_id")
+        rows = rows.orderBy(*[F.asc_nulls_last(name) for name in EXPORT_ORDER])
     return rows.select(
         "task",
         list_text(F.col("id_chain")).alias("id_chain"),

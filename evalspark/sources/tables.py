@@ -6,6 +6,8 @@ Tables are plain parquet folders. A changed table is a new DataFrame and goes to
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,20 @@ def write_table(table: DataFrame, path: str, name: str) -> None:
     conform(table, TABLES[name]).write.mode("errorifexists").parquet(path)
 
 
+def write_run_buckets(runs: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Save runs as the table ``name`` of the session's catalogue, in buckets of ``execution_id``.
+
+    Joins and aggregates on ``execution_id`` with another table in as many buckets, and the
+    aggregates of an upsert, then move no rows. Buckets are sorted by task, and files have
+    Bloom filters on both ids, so a look-up by one of them skips row groups. A bucket is one file:
+    choose their number so that one fits a task, and equal for the tables that are joined.
+    """
+    writer = conform(runs, TASK_RUNS).repartition(buckets, "execution_id").write.mode("errorifexists")
+    for key in ("execution_id", "task_id"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.bucketBy(buckets, "execution_id").sortBy("task_id").option("path", path).format("parquet").saveAsTable(name)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """Write rows as CSV with a header; quotes are doubled, NULL is empty, ``''`` is quoted.
 
@@ -73,6 +89,51 @@ def write_csv(rows: DataFrame, path: str) -> None:
     )
 
 
+def double_text(value: Column) -> Column:
+    """A double in plain digits from 0.0001 up to 1e16, else as ``1.5e-05``; always with a point or exponent."""
+    text, size = value.cast("string"), F.abs(value)
+    digits = F.regexp_replace(value.cast("string").cast("decimal(38,20)").cast("string"), r"0+\z", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"\A([^E]*)E", 1), r"\.0\z", "")
+    power = F.regexp_extract(text, r"E(-?[0-9]+)\z", 1)
+    sign = F.when(power.startswith("-"), "-").otherwise("+")
+    number = F.regexp_replace(power, "-", "")
+    short = F.concat(mantissa, F.lit("e"), sign, F.lpad(number, F.greatest(F.lit(2), F.length(number)), F.lit("0")))
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when((text == "0.0") | (text == "-0.0"), text)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(short)
+    )
+
+
+def _csv_field(value: Column, kind: T.DataType) -> Column:
+    """A value as it stands in the file: NULL is nothing, ``''`` is quoted, and what could be misread."""
+    text = double_text(value) if isinstance(kind, T.DoubleType) else value.cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(text.rlike(r'\A\z|[,"\r\n#]'), quoted).otherwise(text), F.lit(""))
+
+
+def write_one_csv(rows: DataFrame, path: str, order_by: Sequence[Column]) -> None:
+    """Write rows as one CSV file in parts: put together in the order of their names, they are the file.
+
+    Keys sort upwards, NULLs last. The header is a row of its own that sorts before all others, so it opens the first part; the
+    sort deals the rest out by ranges, and no part is large. Rows that tie in ``order_by`` stand in any order.
+    """
+    names = [F.lit(name) for name in rows.columns]
+    line = lambda columns: F.concat_ws(",", *columns)
+    values = [_csv_field(F.col(field.name), field.dataType) for field in rows.schema.fields]
+    keys = [f"_key{at}" for at in range(len(order_by))]
+    body = rows.select(F.lit(1).alias("_body"), line(values).alias("value"), *[key.alias(name) for key, name in zip(order_by, keys, strict=True)])
+    head = rows.sparkSession.range(1).select(
+        F.lit(0).alias("_body"), line([_csv_field(name, T.StringType()) for name in names]).alias("value"),
+        *[F.lit(None).cast(body.schema[name].dataType).alias(name) for name in keys],
+    )
+    lines = head.unionByName(body).orderBy("_body", *[F.asc_nulls_last(name) for name in keys])
+    lines.select("value").write.mode("errorifexists").text(path)
+
+
 def size_text(size: Column) -> Column:
     """A size as text in B, KB or MB; halves go to the even digit."""
     kilo, mega = 1024.0, 1024.0 * 1024.0

@@ -11,7 +11,7 @@ written out as a new base.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +77,21 @@ def ingest_runs(
 
     Without ``checkpoint`` the progress is kept below the cluster's shared checkpoint folder.
     """
+
+    def store(batch: DataFrame, batch_id: int, stream: str) -> None:
+        write_batch(batch, batch_id, log, order_by, stream)
+
+    return start_stream(attempts, store, log, checkpoint, available_now)
+
+
+def start_stream(
+    attempts: DataFrame,
+    take: Callable[[DataFrame, int, str], None],
+    log: str,
+    checkpoint: str | None,
+    available_now: bool,
+) -> StreamingQuery:
+    """Start a stream whose batches ``take`` gets with their number and the stream's id."""
     name = hashlib.sha256(log.rstrip("/").encode()).hexdigest()[:32]
     location = checkpoint or shared_folder(attempts.sparkSession, f"ingest/{name}")
 
@@ -84,7 +99,7 @@ def ingest_runs(
         stream = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID)
         if not stream:
             raise RuntimeError("the stream's id is not known, so its batches cannot be told from others")
-        write_batch(batch, batch_id, log, order_by, stream)
+        take(batch, batch_id, stream)
 
     writer = attempts.writeStream.foreachBatch(store).option("checkpointLocation", location)
     if available_now:
@@ -95,7 +110,7 @@ def ingest_runs(
 Position = int | Mapping[str, int]
 
 
-def _beyond(position: Position) -> Column:
+def beyond(position: Position) -> Column:
     """Batches after a position: a number for all streams, or one per stream (others are beyond)."""
     if isinstance(position, int):
         return F.col(BATCH) > position
@@ -140,9 +155,9 @@ def read_log(
     """
     rows = _log_rows(spark, log)
     if after is not None:
-        rows = rows.filter(_beyond(after))
+        rows = rows.filter(beyond(after))
     if through is not None:
-        rows = rows.filter(~_beyond(through))
+        rows = rows.filter(~beyond(through))
     rows = _of(rows, tasks, models)
     wanted = TASK_RUNS.fieldNames() if columns is None else ["execution_id", *[n for n in columns if n != "execution_id"]]
     order = F.struct(ARRIVED, BATCH, STREAM)
