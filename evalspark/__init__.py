@@ -34,11 +34,15 @@ from evalspark.operators.grading import (
 )
 from evalspark.operators.migrations import (
     CURRENT_VERSION,
+    Step,
     current_version,
     latest_version,
     migrate_runs,
+    pending_steps,
     pending_upgrades,
     record_version,
+    upgrade_history,
+    upgrade_table,
 )
 from evalspark.operators.models import model_aliases, resolve_models, unresolved_models
 from evalspark.operators.rules import filter_by_patterns, first_rules, match_patterns, validate_by_rules
@@ -91,9 +95,24 @@ from evalspark.sources.tables import (
     read_table,
     storage_size,
     write_csv,
+    write_one_csv,
+    write_run_buckets,
     write_table,
 )
 from evalspark.sources.tree import TreeError, build_tasks, scan_problems, scan_tree, tree_problems
+from evalspark.streaming.changes import (
+    begin_store,
+    clean_store,
+    delete_runs,
+    drop_folded,
+    fold_store,
+    ingest_changes,
+    prune_store,
+    put_grades,
+    put_runs,
+    store_position,
+    store_runs,
+)
 from evalspark.streaming.ingest import current_runs, ingest_runs, log_position, read_attempts, read_log
 
 __all__ = [name for name in dir() if not name.startswith("_")]
