@@ -181,7 +181,23 @@ def _validated(passed: str, score: str, reason: str, pending: str = "FALSE", rub
 _WORD = "CASE WHEN conv_id % 4 = 0 THEN ['the', 'an', 'of'][conv_id % 3 + 1] WHEN len(id_chain) = 3 THEN 'the' END"
 _BY_HAND = "len(id_chain) = 2 AND id_chain[1] = 'cat_1'"
 
+# what is left after grades and a prune
+_KEPT_RUNS = """(SELECT r.* REPLACE (
+    CASE WHEN g.score IS NULL THEN r.validation_passed ELSE g.score = 1.0 END AS validation_passed,
+    coalesce(g.score, r.validation_score) AS validation_score,
+    r.validation_pending AND g.score IS NULL AS validation_pending)
+  FROM fx_runs r JOIN fx_grades g USING (execution_id) WHERE r.task_id IN (SELECT task_id FROM registry))"""
+
 _QUERIES = {
+    "maintained_by_model": f"""SELECT {_BY_MODEL} FROM {_KEPT_RUNS} WHERE error IS NULL
+      GROUP BY model ORDER BY avg_score DESC, model""",
+    "maintained_by_task": f"""SELECT t.display_name, r.task_id, {_TOTALS}
+      FROM {_KEPT_RUNS} r LEFT JOIN registry t ON r.task_id = t.task_id
+      WHERE r.error IS NULL AND lower(r.model) LIKE '%model-%'
+        AND r.task_id IN (SELECT task_id FROM registry WHERE {_DOUBLE_STAR})
+      GROUP BY t.display_name, r.task_id ORDER BY avg_score DESC, r.task_id""",
+    "maintained_counts": f"""SELECT (SELECT count(*) FROM registry) AS tasks, count(*) AS runs, count(error) AS errors,
+        count(*) FILTER (validation_pending AND error IS NULL) AS pending FROM {_KEPT_RUNS}""",
     "validate_rule_table": _validated(
         f"contains(output, {_WORD})",
         f"CASE WHEN contains(output, {_WORD}) THEN 1.0::DOUBLE WHEN {_WORD} IS NOT NULL OR {_BY_HAND} THEN 0.0::DOUBLE END",

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from conformance.fixtures import ATTEMPT_ORDER, MODEL_NAMES, RUBRIC, Fixtures, stamp
 from evalspark.functions.globs import matches
-from evalspark.functions.identity import chain_text, messages_hash, name_or_id, short_model
+from evalspark.functions.identity import chain_text, execution_id, messages_hash, name_or_id, short_model
 from evalspark.operators import cleanup, grading, migrations, models, rules, runs, upsert, validators
 from evalspark.operators.migrations import migrate_runs
-from evalspark.plans import summaries
+from evalspark.plans import summaries, totals
 from evalspark.sources import prompts, tree
+from evalspark.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,6 +252,40 @@ def summary_by_task_filtered(fx: Fixtures) -> DataFrame:
     return summaries.summary_by_task(fx.runs(), fx.registry, [DOUBLE_STAR_GLOB], "model-")
 
 
+def maintained(fx: Fixtures) -> DataFrame:
+    """Totals of the attempts up to the 15th, changed by the later ones, then by grades, then by a prune."""
+    later = F.col("created_at") >= stamp("2024-01-15 00:00:00")
+    attempts = fx.attempts(with_output=False)
+    base = upsert.reduce_attempts(attempts.filter(~later), ATTEMPT_ORDER)
+    puts = upsert.reduce_attempts(attempts.filter(later), ATTEMPT_ORDER).withColumns({"op": F.lit(changes.PUT), "at": F.lit(1)})
+    graded = grading.read_grades(fx.grades()).filter(F.col("outcome") == grading.GRADED)
+    grades = graded.selectExpr(
+        "execution_id", "score = 1D AS validation_passed", "score AS validation_score", "reason AS validation_reason",
+        "FALSE AS validation_pending", f"'{changes.GRADE}' AS op", "2 AS at",
+    )
+    orphans = cleanup.orphan_task_ids(attempts, fx.registry)
+    pruned = attempts.join(orphans, "task_id", "left_semi").select(execution_id(F.col("task_id"), F.col("model")).alias("execution_id")).distinct()
+    deletes = pruned.withColumns({"op": F.lit(changes.DELETE), "at": F.lit(3)})
+    entries = puts.unionByName(grades, allowMissingColumns=True).unionByName(deletes, allowMissingColumns=True)
+    pairs = changes.changed_runs(base, changes.net_changes(entries, totals.READ), totals.READ)
+    return totals.merge_totals(totals.run_totals(base), totals.changed_totals(pairs))
+
+
+@query
+def maintained_by_model(fx: Fixtures) -> DataFrame:
+    return totals.totals_by_model(maintained(fx))
+
+
+@query
+def maintained_by_task(fx: Fixtures) -> DataFrame:
+    return totals.totals_by_task(maintained(fx), fx.registry, [DOUBLE_STAR_GLOB], "model-")
+
+
+@query
+def maintained_counts(fx: Fixtures) -> DataFrame:
+    return totals.totals_counts(fx.registry, maintained(fx))
+
+
 @query
 def runs_display(fx: Fixtures) -> DataFrame:
     rows = runs.runs_for_display(fx.runs(), fx.registry)

@@ -86,6 +86,15 @@ from evalspark.plans.summaries import (
     task_list,
     task_tree,
 )
+from evalspark.plans.totals import (
+    changed_totals,
+    merge_totals,
+    run_totals,
+    totals_by_model,
+    totals_by_task,
+    totals_counts,
+    totals_per_model,
+)
 from evalspark.plans.workflows import plan_prune, plan_runs, results
 from evalspark.sources.catalogue import DEFAULT_MODELS, model_catalogue
 from evalspark.sources.prompts import parse_errors, parse_prompts
@@ -107,11 +116,13 @@ from evalspark.streaming.changes import (
     drop_folded,
     fold_store,
     ingest_changes,
+    keep_totals,
     prune_store,
     put_grades,
     put_runs,
     store_position,
     store_runs,
+    store_totals,
 )
 from evalspark.streaming.ingest import current_runs, ingest_runs, log_position, read_attempts, read_log
 

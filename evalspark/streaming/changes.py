@@ -16,6 +16,9 @@ Readers take the last pointer and read the partitions beyond its position; whate
 they find the old state or the new one. ``drop_folded`` removes what the pointer before the last covers, so
 a reader has one folding's time to finish.
 
+``keep_totals`` keeps counts and sums per task and model beside the base, with a pointer of their own; they
+change by the old and the new row of every execution that batches touch.
+
 Clocks of the drivers that write to a store have to agree, and one driver folds at a time.
 """
 
@@ -36,11 +39,13 @@ from evalspark.operators.cleanup import orphan_task_ids
 from evalspark.operators.grading import latest_grades
 from evalspark.operators.runs import succeeded
 from evalspark.operators.upsert import KEPT, REPLACED, reduce_attempts
+from evalspark.plans.totals import READ, TOTALS, changed_totals, merge_totals, run_totals
 from evalspark.schemas import TASK_RUNS, conform
 from evalspark.sources.tables import empty_table
 from evalspark.streaming.ingest import BATCH, STREAM, beyond, start_stream
 
 PUT, GRADE, DELETE = "put", "grade", "delete"
+TOTALS_POINTERS = "totals_pointers"
 GRADED = ("validation_passed", "validation_score", "validation_reason", "validation_pending")
 
 _BATCH_KEY = [T.StructField(STREAM, T.StringType()), T.StructField(BATCH, T.LongType())]
@@ -69,16 +74,16 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return empty_table(spark, schema)
 
 
-def last_pointer(spark: SparkSession, store: str) -> Pointer:
+def last_pointer(spark: SparkSession, store: str, kind: str = "pointers") -> Pointer:
     """The pointer written last; before the first one, no base and all batches beyond."""
-    rows = _read(spark, f"{store}/pointers", POINTERS)
+    rows = _read(spark, f"{store}/{kind}", POINTERS)
     row = rows.agg(F.max_by(F.struct("fold", "base", "position"), "fold").alias("last")).first()["last"]
     return Pointer(row["fold"], row["base"], dict(row["position"] or {})) if row else Pointer(-1, None, {})
 
 
-def _point(spark: SparkSession, store: str, pointer: Pointer) -> None:
+def _point(spark: SparkSession, store: str, pointer: Pointer, kind: str = "pointers") -> None:
     row = spark.createDataFrame([(pointer.base, dict(pointer.position))], T.StructType(_POINTER))
-    row.coalesce(1).write.mode("overwrite").parquet(f"{store}/pointers/fold={pointer.fold}")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{store}/{kind}/fold={pointer.fold}")
 
 
 def begin_store(runs: DataFrame, store: str) -> None:
@@ -233,32 +238,49 @@ def net_changes(entries: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).drop("put_at", "grade_at")
 
 
+def _after(name: str, old: Column) -> Column:
+    """The value of a column after the net change of its row; ``execution_id`` is NULL where there was none."""
+    changed, put, graded = (F.coalesce(flag, F.lit(False)) for flag in ("deleted", "put", "graded"))
+    if name in KEPT:
+        return F.when(put & (changed | F.col("execution_id").isNull()), F.col(f"first.{name}")).otherwise(old)
+    new = F.when(put, F.col(f"{'text' if name == 'output' else 'last'}.{name}"))
+    if name in GRADED:
+        new = F.when(graded, F.col(f"grade.{name}")).when(put, F.col(f"last.{name}"))
+    return new.otherwise(old)
+
+
 def apply_changes(base: DataFrame, net: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The base after the net changes; ``columns`` (besides the key) are those that both have.
 
     As in an upsert, the changes stand on the right of two joins with the base, so few changes do
     not move it.
     """
-    changed, put, graded = (F.coalesce(name, F.lit(False)) for name in ("deleted", "put", "graded"))
-
-    def value(name: str, old: Column) -> Column:
-        if name in KEPT:
-            return F.when(put & (changed | F.col("execution_id").isNull()), F.col(f"first.{name}")).otherwise(old)
-        new = F.when(put, F.col(f"{'text' if name == 'output' else 'last'}.{name}"))
-        if name in GRADED:
-            new = F.when(graded, F.col(f"grade.{name}")).when(put, F.col(f"last.{name}"))
-        return new.otherwise(old)
-
+    changed, put = (F.coalesce(flag, F.lit(False)) for flag in ("deleted", "put"))
     joined = base.join(net, F.col("execution_id") == F.col("_key"), "left").filter(~changed | put)
-    kept = joined.select("execution_id", *[value(name, F.col(name)).alias(name) for name in columns])
+    kept = joined.select("execution_id", *[_after(name, F.col(name)).alias(name) for name in columns])
     known = base.select("execution_id").join(net.select(F.col("_key").alias("execution_id")), "execution_id", "left_semi")
     new = net.filter("put").join(known, F.col("_key") == F.col("execution_id"), "left_anti")
     new = new.withColumn("execution_id", F.lit(None).cast("string"))
     nothing = {name: F.lit(None).cast(base.schema[name].dataType) for name in columns}
-    added = new.select(F.col("_key").alias("execution_id"), *[value(name, nothing[name]).alias(name) for name in columns])
+    added = new.select(F.col("_key").alias("execution_id"), *[_after(name, nothing[name]).alias(name) for name in columns])
     return kept.unionByName(added)
 
 
+def changed_runs(base: DataFrame, net: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(old, new) of every execution that net changes touch, as structs of ``columns``, NULL where there is none.
+
+    Of the base only the touched executions are moved.
+    """
+    keys = net.select(F.col("_key").alias("execution_id"))
+    touched = base.select("execution_id", *columns).join(keys, "execution_id", "left_semi")
+    there, put = F.col("execution_id").isNotNull(), F.coalesce("put", F.lit(False))
+    stays = put | (there & ~F.coalesce("deleted", F.lit(False)))
+    return touched.join(net, F.col("execution_id") == F.col("_key"), "full").select(
+        F.when(there, F.struct(*columns)).alias("old"),
+        F.when(stays, F.struct(*[_after(name, F.col(name)).alias(name) for name in columns])).alias("new"),
+    )
+
+
 def store_runs(
     spark: SparkSession,
     store: str,
@@ -273,6 +295,51 @@ def store_runs(
     return apply_changes(base.select("execution_id", *wanted), net, wanted)
 
 
+# -- totals ------------------------------------------------------------------------------
+
+
+def _beyond_totals(spark: SparkSession, store: str, at: Pointer, through: Mapping[str, int] | None) -> DataFrame:
+    """What batches beyond the totals' position add to them."""
+    net = net_changes(committed_entries(spark, store, at.position, through), READ)
+    return changed_totals(changed_runs(store_runs(spark, store, READ, at.position), net, READ))
+
+
+def store_totals(spark: SparkSession, store: str, current: bool = True) -> DataFrame:
+    """Totals per task and model, for the reports of ``plans/totals.py``.
+
+    If no batch came since they were last kept, only the kept totals are read. Otherwise, what came is
+    added to them, or with ``current=False`` left out.
+    """
+    at = last_pointer(spark, store, TOTALS_POINTERS)
+    if at.base is None:
+        return run_totals(store_runs(spark, store, READ))
+    kept = spark.read.schema(TOTALS).parquet(f"{store}/totals/{at.base}")
+    if not current or store_position(spark, store) == at.position:
+        return kept
+    return merge_totals(kept, _beyond_totals(spark, store, at, None))
+
+
+def keep_totals(spark: SparkSession, store: str) -> Pointer:
+    """Bring the kept totals to the last committed batch: write them anew, then point to them.
+
+    The first call makes them from all runs, later ones from the old and new rows of what has changed.
+    From then on every folding keeps them as well, so the base is never ahead of them.
+    """
+    at, position = last_pointer(spark, store, TOTALS_POINTERS), store_position(spark, store)
+    if at.base is not None and position == at.position:
+        return at
+    if at.base is None:
+        totals = run_totals(store_runs(spark, store, READ, position))
+    else:
+        kept = spark.read.schema(TOTALS).parquet(f"{store}/totals/{at.base}")
+        totals = merge_totals(kept, _beyond_totals(spark, store, at, position))
+    name = uuid.uuid4().hex
+    totals.write.parquet(f"{store}/totals/{name}")
+    pointer = Pointer(at.fold + 1, name, position)
+    _point(spark, store, pointer, TOTALS_POINTERS)
+    return pointer
+
+
 # -- folding -----------------------------------------------------------------------------
 
 
@@ -281,6 +348,8 @@ def fold_store(spark: SparkSession, store: str) -> Pointer:
     pointer, position = last_pointer(spark, store), store_position(spark, store)
     if position == pointer.position:
         return pointer
+    if last_pointer(spark, store, TOTALS_POINTERS).base is not None:
+        keep_totals(spark, store)  # first: their next change starts from rows that the base must not be ahead of
     base = uuid.uuid4().hex
     store_runs(spark, store, through=position).write.parquet(f"{store}/bases/{base}")
     folded = Pointer(pointer.fold + 1, base, position)
@@ -291,20 +360,22 @@ def fold_store(spark: SparkSession, store: str) -> Pointer:
 def drop_folded(spark: SparkSession, store: str) -> int:
     """Remove batches that the pointer before the last covers, and bases that none of the two names.
 
-    Returns how many folders went. Entries go before their commits, so a stop half-way leaves commits
+    Totals that the last two of their pointers do not name go too. Returns how many folders went. Entries go before their commits, so a stop half-way leaves commits
     without rows that are behind the pointer. Only names of folders are listed. A folding must not run meanwhile.
     """
-    last = last_pointer(spark, store)
+    last, kept = last_pointer(spark, store), last_pointer(spark, store, TOTALS_POINTERS)
     rows = _read(spark, f"{store}/pointers", POINTERS).filter(F.col("fold") == last.fold - 1).collect()
     if not rows:
         return 0
     before = Pointer(rows[0]["fold"], rows[0]["base"], dict(rows[0]["position"] or {}))
+    named = {row["base"] for row in _read(spark, f"{store}/{TOTALS_POINTERS}", POINTERS).filter(F.col("fold") >= kept.fold - 1).collect()}
     files, root = fs.FileSystem.from_uri(store) if "://" in store or store.startswith("file:") else (fs.LocalFileSystem(), store)
 
     def folders(path: str) -> list[str]:
         return [info.path for info in files.get_file_info(fs.FileSelector(path, allow_not_found=True)) if info.type == fs.FileType.Directory]
 
     gone = [path for path in folders(f"{root}/bases") if path.rsplit("/", 1)[-1] not in (before.base, last.base)]
+    gone += [path for path in folders(f"{root}/totals") if path.rsplit("/", 1)[-1] not in named]
     for kind in ("entries", "commits"):
         for stream in folders(f"{root}/{kind}"):
             bound = before.position.get(stream.rsplit(f"{STREAM}=", 1)[-1], -1)

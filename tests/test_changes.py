@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from evalspark.operators.cleanup import clean_errors, clean_runs, prune_runs
 from evalspark.operators.grading import apply_grades
 from evalspark.operators.upsert import upsert_runs
+from evalspark.plans.totals import run_totals
 from evalspark.schemas import TASK_RUNS
 from evalspark.sources.tables import empty_table
 from evalspark.streaming import changes
@@ -65,6 +66,8 @@ def test_any_interleaving_equals_the_steps_on_tables(spark, make_attempts, tmp_p
         table = local(spark, table)
         if rng.random() < 0.3:
             last()  # a replay
+        if step in (1, 6):
+            changes.keep_totals(spark, store)  # foldings keep them from here on
         if rng.random() < 0.3:
             changes.fold_store(spark, store)
             last()  # a replay of a batch that is in the base
@@ -72,6 +75,7 @@ def test_any_interleaving_equals_the_steps_on_tables(spark, make_attempts, tmp_p
             changes.drop_folded(spark, store)
         if step % 4 == 3:
             assert rows_of(changes.store_runs(spark, store)) == rows_of(table), (seed, step)
+            assert rows_of(changes.store_totals(spark, store)) == rows_of(run_totals(table)), (seed, step)
     assert rows_of(changes.store_runs(spark, store)) == rows_of(table)
     changes.fold_store(spark, store)
     assert rows_of(changes.store_runs(spark, store)) == rows_of(table)
