@@ -42,34 +42,23 @@ def an_entry(rng, op, key, at):
     return tuple(row.values())
 
 
-@pytest.fixture
-def small_jobs(spark):
-    """Many jobs over a few rows: one partition, and no time spent on compiling."""
-    settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"}
-    before = {name: spark.conf.get(name) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    yield
-    for name, value in before.items():
-        spark.conf.set(name, value)
-
-
-def test_fifty_batches_equal_computing_again(spark, small_jobs):
+def test_random_batches_equal_computing_again(spark):
+    """Seven batches one after the other for each of eight sets of executions: 56 in seven steps."""
     rng = random.Random(5)
     table, totals = empty_table(spark, TASK_RUNS), spark.createDataFrame([], run_totals(empty_table(spark, TASK_RUNS)).schema)
-    for step in range(50):
+    ops = [changes.PUT, changes.PUT, changes.PUT, changes.GRADE, changes.GRADE, changes.DELETE]
+    for step in range(7):
         rows = [
-            an_entry(rng, rng.choice([changes.PUT, changes.PUT, changes.PUT, changes.GRADE, changes.GRADE, changes.DELETE]), key, at)
-            for at in range(rng.randint(1, 2))
-            for key in rng.sample([*IDS, ("unknown", "t9", "m")], rng.randint(1, 4))
+            an_entry(rng, rng.choice(ops), tuple(f"{lane}{part}" if at < 2 else part for at, part in enumerate(key)), place)
+            for lane in range(8)
+            for place in range(rng.randint(1, 2))
+            for key in rng.sample([*IDS, ("unknown", "t9", "m")], rng.randint(1, 5))
         ]
         net = changes.net_changes(spark.createDataFrame(rows, ENTRY).coalesce(1), COLUMNS)
         pairs = changes.changed_runs(table, net, READ)
         totals = spark.createDataFrame(merge_totals(totals, changed_totals(pairs)).collect(), totals.schema)
         table = spark.createDataFrame(changes.apply_changes(table, net, COLUMNS).collect(), TASK_RUNS)
-        if step % 5 == 4 or step < 5:
-            assert rows_of(totals) == rows_of(run_totals(table)), step
-    assert rows_of(totals) == rows_of(run_totals(table)) != []
+        assert rows_of(totals) == rows_of(run_totals(table)) != [], step
 
 
 @pytest.fixture(scope="module")
