@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,12 @@ from evalspark.llm.vocabulary import BLANK, LONGEST, REMEMBERED, Memory, load, p
 VOCABULARY, END = "byte_bpe_50k.json", 0
 MAX_BITS, CHECKPOINT = 20, 512
 BLANKS = frozenset(re.findall(f"[{BLANK}]", "".join(map(chr, range(1 << 14)))))
-#: Ids that are coded or decoded at once, about.
-GROUP_IDS = 1_000_000
+#: Ids that are coded at once, about, so that what is made of them stays in the caches; and decoded at
+#: once, where many stretches share every step.
+CODED_IDS, DECODED_IDS = 100_000, 1_000_000
 
 
-#: Punctuation that is cut off behind a letter.
-TAIL = ".,;:!?"
-#: Parts of units that are given to the library as one text, and texts that are given to it at once.
+#: Units that are given to the library as one text, and texts that are given to it at once.
 ROW, ROWS = 5_000, 8
 
 
@@ -57,42 +57,30 @@ def token_lengths(tokenizer) -> np.ndarray:
     return table
 
 
-def _encode_units(tokenizer, lengths: np.ndarray, missing: list[str]) -> list[bytes]:
-    """The ids of units. Punctuation behind a letter is a piece of its own, and is taken off first."""
-    bases = [unit.rstrip(TAIL) for unit in missing]
-    bases = [base if base and base[-1].isalpha() else unit for base, unit in zip(bases, missing, strict=True)]
-    parts = set(bases)
-    parts.update(unit[len(base) :] for base, unit in zip(bases, missing, strict=True))
-    parts.discard("")
-    ids = _encode_parts(tokenizer, lengths, list(parts))
-    ids[""] = b""
-    return [ids[base] + ids[unit[len(base) :]] for base, unit in zip(bases, missing, strict=True)]
+def _encode_units(tokenizer, lengths: np.ndarray, units: list[str]) -> dict[str, bytes]:
+    """The ids of units, which are given to the library in rows of many where they stand apart.
 
-
-def _encode_parts(tokenizer, lengths: np.ndarray, parts: list[str]) -> dict[str, bytes]:
-    """The ids of parts, which are given to the library in rows of many where they stand apart.
-
-    A part that begins with white space and ends without it is tokenized after another such part as
-    it is alone; the others are given one by one. Where a part ends among the ids of its row follows
+    A unit that begins with white space and ends without it is tokenized after another such unit as
+    it is alone; the others are given one by one. Where a unit ends among the ids of its row follows
     from the lengths of the tokens.
     """
     out: dict[str, bytes] = {}
-    apart = [part for part in parts if part[0] in BLANKS and part[-1] not in BLANKS]
+    apart = [unit for unit in units if unit[0] in BLANKS and unit[-1] not in BLANKS]
     rows = [apart[start : start + ROW] for start in range(0, len(apart), ROW)]
     for start in range(0, len(rows), ROWS):
         some = rows[start : start + ROWS]
         texts = ["".join(row) for row in some]
-        for row, text, found in zip(some, texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for row, found in zip(some, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
-            sizes = map(len, row) if text.isascii() else (len(part.encode()) for part in row)
-            ends = np.cumsum(np.fromiter(sizes, np.int64, len(row)))
+            sizes = [len(unit) if unit.isascii() else len(unit.encode()) for unit in row]
+            ends = np.cumsum(np.array(sizes, np.int64))
             bounds = np.cumsum(lengths[ids])
             cuts = np.searchsorted(bounds, ends) + 1
             if cuts[-1] != len(ids) or (bounds[cuts - 1] != ends).any():
-                continue  # a token runs over the end of a part: these are given one by one
+                continue  # a token runs over the end of a unit: these are given one by one
             data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            out.update(zip(row, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
-    rest = [part for part in parts if part not in out]
+            out.update(zip(row, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+    rest = [unit for unit in units if unit not in out] if len(out) < len(units) else []
     alone = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
     out.update(zip(rest, (array("I", found.ids).tobytes() for found in alone), strict=True))
     return out
@@ -103,15 +91,18 @@ class Ids(Memory):
 
     def joined(self, texts: list[list[str]], last: bytes) -> list[bytes]:
         """The ids of every text, and ``last`` behind them."""
-        needed = set().union(*texts)
-        missing = needed.difference(self)
+        missing = set()
+        for text in texts:
+            missing.update(filterfalse(self.__contains__, text))
         if len(self) + len(missing) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-            missing = needed
-        self.update((unit, self.older[unit]) for unit in missing & self.older.keys())
-        missing = list(missing.difference(self))
-        self.update(zip(missing, self.make(missing), strict=True))
+            missing = set().union(*texts)
+        if self.older:
+            again = missing & self.older.keys()
+            self.update([(unit, self.older[unit]) for unit in again])
+            missing -= again
+        self.update(self.make(list(missing)))
         found = [b"".join(map(self.__getitem__, text)) + last for text in texts]
         for unit in missing:
             if len(unit) > LONGEST:
@@ -154,11 +145,11 @@ def token_ids(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     )
 
 
-def _slices(sizes: list[int]) -> Iterator[slice]:
+def _slices(sizes: list[int], ids: int) -> Iterator[slice]:
     start, total = 0, 0
     for at, size in enumerate(sizes):
         total += size
-        if total >= GROUP_IDS or at + 1 == len(sizes):
+        if total >= ids or at + 1 == len(sizes):
             yield slice(start, at + 1)
             start, total = at + 1, 0
 
@@ -172,7 +163,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
         rows, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for part in _slices(sizes):
+        for part in _slices(sizes, CODED_IDS):
             counts = np.bincount(_unpacked(rows[part], sizes[part]))
             if len(counts) > len(total):
                 counts, total = total, counts
@@ -221,8 +212,8 @@ class Code:
         size = int(ids.max()) + 1 if len(ids) else 0
         self.code, self.length = np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.code[ids], self.length[ids] = starts >> (MAX_BITS - lengths), lengths
-        #: for every possible next MAX_BITS bits, the id and the length of its code
-        self.table_id, self.table_length = np.repeat(ids, steps), np.repeat(lengths, steps)
+        #: for every possible next MAX_BITS bits, the id and in the lowest five bits the length of its code
+        self.table = np.repeat((ids << 5 | lengths).astype(np.int32 if size <= 1 << 26 else np.int64), steps)
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
         """Payload and checkpoint bit offsets of consecutive documents of ``sizes`` ids."""
@@ -249,7 +240,8 @@ class Code:
 
     def decode(self, payloads: list[bytes], marks: list[list[int]], sizes: np.ndarray) -> np.ndarray:
         """The ids of consecutive documents, every stretch between checkpoints on its own."""
-        data = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8)
+        data = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8).astype(np.uint32)
+        ahead = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]  # the 32 bits from every byte on
         n_bytes = np.array([len(payload) for payload in payloads], np.int64)
         starts = 8 * (np.cumsum(n_bytes) - n_bytes)
         lanes = np.array([len(own) for own in marks], np.int64)
@@ -263,11 +255,10 @@ class Code:
         for step in range(int(left[0]) if len(left) else 0):
             live = int(np.searchsorted(-left, -step, "left"))
             places, into = places[:live], into[:live]
-            at = places >> 3
-            bits = data[at].astype(np.int64) << 24 | data[at + 1].astype(np.int64) << 16 | data[at + 2].astype(np.int64) << 8 | data[at + 3]
-            ahead = bits >> (32 - MAX_BITS - (places & 7)) & ((1 << MAX_BITS) - 1)
-            out[into + step] = self.table_id[ahead]
-            places = places + self.table_length[ahead]
+            bits = ahead[places >> 3] >> (32 - MAX_BITS - (places & 7)).astype(np.uint32) & np.uint32((1 << MAX_BITS) - 1)
+            found = self.table[bits]
+            out[into + step] = found >> 5
+            places = places + (found & 31)
         return out
 
 
@@ -277,7 +268,7 @@ def _encode(shared):
         code, shard, before = Code(*shared.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             rows, sizes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for part in _slices(sizes):
+            for part in _slices(sizes, CODED_IDS):
                 own = np.array(sizes[part], np.int64)
                 payloads, marks = code.encode(_unpacked(rows[part], sizes[part]), own)
                 firsts = before + np.cumsum(own) - own
@@ -319,7 +310,7 @@ def _decode(shared):
         code = Code(*shared.value)
         for batch in batches:
             sizes = batch.column(2).to_pylist()
-            for part in _slices(sizes):
+            for part in _slices(sizes, DECODED_IDS):
                 own = np.array(sizes[part], np.int64)
                 ids = code.decode(batch.column(3)[part].to_pylist(), batch.column(4)[part].to_pylist(), own)
                 data, ends = ids.astype("<u4").tobytes(), np.cumsum(own).tolist()
