@@ -269,7 +269,7 @@ def apply_changes(base: DataFrame, net: DataFrame, columns: Sequence[str]) -> Da
 def changed_runs(base: DataFrame, net: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(old, new) of every execution that net changes touch, as structs of ``columns``, NULL where there is none.
 
-    Of the base only the touched executions are moved.
+    A semi join leaves the touched executions of the base, and only these meet the changes in the full join.
     """
     keys = net.select(F.col("_key").alias("execution_id"))
     touched = base.select("execution_id", *columns).join(keys, "execution_id", "left_semi")

@@ -98,7 +98,7 @@ def test_nothing_and_values_that_are_no_decimal(spark, make_runs, register, make
     assert rows_of(totals_by_model(left), "total_runs", "avg_score") == [(1, 0.5)]
 
 
-def test_kept_totals_are_read_alone_and_changes_do_not_move_the_base(spark, make_attempts, tmp_path):
+def test_kept_totals_are_read_alone_and_follow_foldings(spark, make_attempts, tmp_path):
     store = str(tmp_path / "store")
     for number in range(2):
         changes.put_runs(make_attempts({"task_id": f"t{number}", "model": "m", "validation_score": 0.5}), ["at"], store, "s", number)
