@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.functions.marks import filter_of, split
+
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 #: A word is a run of anything but these; the same set that ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def split_marked(docs: DataFrame, key: Sequence[Column], marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, clear): the rows of ``docs`` whose key may be a row of ``marked``, and those whose key is none.
+
+    A join that drops or changes few rows then moves the texts of ``asked`` alone.
+    """
+    return split(docs, key, stored(filter_of(marked), "filter"))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else; ``lower`` does the same to a text without other letters."""
     plain = F.octet_length(text) == F.length(text)

@@ -142,13 +142,13 @@ def verdicts(measured: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, all columns as they came; texts are measured where they lie.
+    """The documents that pass, all columns as they came; texts are measured once, where they lie.
 
-    The cutoffs depend on the documents labelled good alone, so only these are measured for them.
+    Measures and columns are stored side by side: labels meet the measures alone and cutoffs are
+    few, so no text is moved, however many labels there are.
     """
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    cuts = thresholds(stored(features(docs.join(good, "doc_id", "left_semi")), "features"), labels)
-    whole = verdicts(features(docs, *[docs[name] for name in docs.columns]), cuts).where("kept")
+    measured = stored(features(docs, *[docs[name] for name in docs.columns]), "features")
+    whole = verdicts(measured, thresholds(measured, labels)).where("kept")
     return whole.select(*[F.col(f"kept{at}").alias(name) for at, name in enumerate(docs.columns)])
 
 

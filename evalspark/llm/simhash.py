@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import read, stored, word_blocks
+from evalspark.llm.common import read, split_marked, stored, word_blocks
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 BITS = 64
@@ -174,15 +174,20 @@ def _grouped(docs: DataFrame, size: int, carry: Sequence[str] = ()) -> DataFrame
     )
 
 
+def text_digest(docs: DataFrame) -> Column:
+    return F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+
+
 def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row of every component, that of its smallest doc_id, all columns as they came.
 
     A component is known by its fingerprints and a row by doc_id and text, so different texts under
     one doc_id are what their fingerprints make them. Of one doc_id's texts in a component the one
     with the least SHA-256 stays, of repeated rows one. Rows without doc_id link others but stay
-    themselves. Rows are held against the (doc_id, text) pairs that go, fewer than those that stay.
+    themselves. Rows are held against the (doc_id, text) pairs that go, fewer than those that stay; a
+    filter of fixed size tells beforehand which rows may be among these, and only their texts are moved.
     """
-    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    digest = text_digest(docs)
     known = _grouped(docs.select("doc_id", "text", digest.alias("digest")), size, ["digest"]).where("doc_id IS NOT NULL")
     rows = stored(known.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")), "rows")
     keepers = rows.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("stays")).select("root", "stays.*")
@@ -190,11 +195,12 @@ def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     pairs = lambda some: some.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
     gone = stored(pairs(rows.join(keepers, ["root", "doc_id", "digest"], "left_anti")), "gone")
     often = stored(pairs(rows.where("n > 1").join(keepers, ["root", "doc_id", "digest"], "left_semi")), "often")
-    same = lambda other: (docs["doc_id"] == other["_id"]) & (digest == other["_digest"])
-    left = docs.join(gone, same(gone), "left_anti")
-    repeated = left.join(often, same(often), "left_semi").withColumn("_digest", digest)
+    same = lambda some, other: (some["doc_id"] == other["_id"]) & (text_digest(some) == other["_digest"])
+    asked, clear = split_marked(docs, [docs["doc_id"], digest], gone.union(often))
+    left = stored(asked.join(gone, same(asked, gone), "left_anti"), "left")
+    repeated = left.join(often, same(left, often), "left_semi").withColumn("_digest", text_digest(left))
     repeated = repeated.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    return left.join(often, same(often), "left_anti").unionByName(repeated)
+    return clear.unionByName(left.join(often, same(left, often), "left_anti")).unionByName(repeated)
 
 
 def hex64(value: Column) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
 from evalspark.llm import decontaminate, quality, secret_scan, simhash, substrings
+from evalspark.llm.common import split_marked
 from tests.llm import brute
 
 
@@ -211,6 +213,60 @@ def test_simhash_keeps_different_texts_of_one_id(make_docs):
     assert simhash.keep_first(make_docs(*table).limit(0)).count() == 0
 
 
+def test_marked_rows_are_asked(spark, make_docs):
+    """A marked key's rows are always asked, null keys included; rows are split, none is lost or doubled."""
+    docs = make_docs(*[(i % 700, f"text {i % 900}") for i in range(2000)], (None, None), (None, "text 1"))
+    marked = docs.where("doc_id % 50 = 0 OR doc_id IS NULL").select("doc_id", "text")
+    asked, clear = split_marked(docs, [docs["doc_id"], docs["text"]], marked)
+    key = lambda row: repr((row.doc_id, row.text))
+    assert sorted(map(key, asked.collect() + clear.collect())) == sorted(map(key, docs.collect()))
+    assert {key(r) for r in marked.collect()} <= {key(r) for r in asked.collect()}
+    assert clear.count() > 1900 and clear.columns == docs.columns
+    assert split_marked(docs, [docs["doc_id"], docs["text"]], marked.limit(0))[1].count() == 2002
+
+
+def _moved(plan: str, table: str) -> list[str]:
+    """The shuffles and joins without broadcast that lie above a scan of ``table`` in a plan."""
+    lines = plan.split("== Initial Plan ==")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    found, scans = [], [at for at, line in enumerate(lines) if "FileScan" in line and table in line]
+    assert scans
+    for at in scans:
+        low = depth(lines[at])
+        for line in reversed(lines[:at]):
+            if depth(line) < low:
+                low = depth(line)
+                found += [line] if re.search("SortMergeJoin|Exchange (hash|range|Round|Single)", line) else []
+    return found
+
+
+def test_stages_do_not_move_texts(spark, make_docs, monkeypatch):
+    """With labels and duplicates too large to be broadcast, the texts that stay are not shuffled."""
+    plans, store = [], quality.stored
+
+    def kept_plan(df, name):
+        plans.append((name, df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))))
+        return store(df, name)
+
+    setting = "spark.sql.maxMetadataStringLength"  # plans shorten paths to this
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = store(make_docs(*[(i, " ".join(f"w{i // 2}x{j}" for j in range(20))) for i in range(60)], (None, "x")), "given")
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
+        monkeypatch.setattr(quality, "stored", kept_plan)
+        assert quality.keep_good(docs, labels).where("doc_id IS NOT NULL").count() == 60
+        measured = [plan for name, plan in plans if name == "features"]
+        assert len(measured) == 1 and not _moved(measured[0], "/given-")
+        kept = simhash.keep_first(docs)
+        assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, i) for i in range(0, 60, 2)] + [(True, None)]
+        assert not _moved(kept._jdf.queryExecution().toString().split("== Physical Plan ==")[1], "/given-")
+    finally:
+        spark.conf.set(setting, before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_long_texts_in_blocks(monkeypatch):
     """What is handed out in blocks is what the whole text gives."""
     rng = random.Random(2)
