@@ -194,8 +194,8 @@ def upsert_runs(fx: Fixtures) -> DataFrame:
     """Attempts of January up to the 15th are stored first, the later ones on top of them."""
     attempts = fx.attempts()
     later = F.col("created_at") >= stamp("2024-01-15 00:00:00")
-    stored = upsert.reduce_attempts(attempts.filter(~later), ATTEMPT_ORDER)
-    return full_run_rows(upsert.upsert_runs(stored, attempts.filter(later), ATTEMPT_ORDER))
+    stored = upsert.reduce_attempts(attempts.filter(~later), ATTEMPT_ORDER, ends_first=True)
+    return full_run_rows(upsert.upsert_runs(stored, attempts.filter(later), ATTEMPT_ORDER, ends_first=True))
 
 
 def full_run_rows(table: DataFrame) -> DataFrame:

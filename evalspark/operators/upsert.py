@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.columns import compute_once
 from evalspark.functions.identity import execution_id
+from evalspark.functions.marks import filter_of, split
 from evalspark.schemas import TASK_RUNS, TASKS, conform
 
 # What a repeated run replaces, and what it keeps from the first time.
@@ -130,16 +131,23 @@ def json_or_null(text: Column) -> Column:
     return F.when(~F.coalesce(text, F.lit("")).rlike(r"^\s*(?:\{\s*\})?\s*\z"), text)
 
 
-def reduce_attempts(attempts: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
+def reduce_attempts(
+    attempts: DataFrame, order_by: Sequence[str | Column], ends_first: bool = False
+) -> DataFrame:
     """One row per execution: values of the last attempt, ``created_at`` of the first.
 
     ``attempts`` has the run columns except ``execution_id``; a record without task or model
     is no run of anything and has no key. One aggregate carries all the values, as comparing
-    the order once per record is what this costs.
+    the order once per record is what this costs. It sorts what it combines: with ``ends_first`` the
+    least and greatest order of every execution are found beforehand, in a pass of their own over
+    the narrow columns, and the outputs of attempts in between are never sorted or spilled. This
+    is for attempts that repeat and are read from tables; what computes them is run twice.
     """
     order = _order(order_by)
     key = execution_id(F.col("task_id"), F.col("model"))
     keyed = compute_once(attempts, {"execution_id": key}).filter(F.col("execution_id").isNotNull())
+    if ends_first:
+        keyed = _possible_ends(keyed, order)
     reduced = keyed.groupBy("execution_id").agg(
         F.min_by(F.struct(*KEPT), order).alias("first"),
         F.max_by(F.struct(*REPLACED), order).alias("last"),
@@ -147,6 +155,13 @@ def reduce_attempts(attempts: DataFrame, order_by: Sequence[str | Column]) -> Da
     return reduced.select("execution_id", "first.*", "last.*").select(*TASK_RUNS.fieldNames())
 
 
+def _possible_ends(keyed: DataFrame, order: Column) -> DataFrame:
+    """The rows that may be the first or the last of their execution, all that are among them."""
+    ends = keyed.groupBy("execution_id").agg(F.min(order).alias("low"), F.max(order).alias("high"))
+    marked = ends.select("execution_id", F.explode(F.array("low", "high")).alias("end"))
+    return split(keyed, [F.col("execution_id"), order], filter_of(marked))[0]
+
+
 def merge_runs(table: DataFrame, batch: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Merge rows that are already one per execution into a run table; ``columns`` narrows both."""
     table = conform(table, TASK_RUNS)
@@ -156,6 +171,8 @@ def merge_runs(table: DataFrame, batch: DataFrame, columns: Sequence[str] | None
     return _merge(table, batch, "execution_id", [name for name in REPLACED if name in table.columns])
 
 
-def upsert_runs(table: DataFrame, attempts: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
+def upsert_runs(
+    table: DataFrame, attempts: DataFrame, order_by: Sequence[str | Column], ends_first: bool = False
+) -> DataFrame:
     """Store attempts: a repeated execution replaces its result and keeps its first time stamp."""
-    return merge_runs(table, reduce_attempts(attempts, order_by))
+    return merge_runs(table, reduce_attempts(attempts, order_by, ends_first))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.identity import execution_id
 from evalspark.operators.upsert import (
+    _possible_ends,
     flatten_validation,
     json_or_null,
     merge_runs,
@@ -216,6 +217,23 @@ def test_a_hot_key_is_combined_before_the_shuffle(spark, make_attempts):
     assert rows_of(reduced.filter("task_id = 'hot'"), "output") == [("2997",)]
 
 
+def test_only_the_ends_are_combined(spark):
+    """Of repeated attempts the first and the last alone are sorted with their outputs, with the same result."""
+    attempts = spark.range(3000).selectExpr(
+        "concat('t', id % 40) AS task_id", "'h' AS messages_hash", "if(id % 40 < 2, NULL, 'm') AS model",
+        "string(id) AS output", "1D AS duration_ms", "CAST(NULL AS STRING) AS error",
+        "CAST(NULL AS BOOLEAN) AS validation_passed", "CAST(NULL AS DOUBLE) AS validation_score",
+        "CAST(NULL AS STRING) AS validation_reason", "CAST(NULL AS STRING) AS validation_metadata",
+        "false AS validation_pending", "CAST(NULL AS STRING) AS validation_rubric", "CAST(NULL AS STRING) AS run_config",
+        "if(id % 40 = 7 OR id < 80, NULL, timestamp_seconds(1700000000 + id * 7919 % 3001)::timestamp_ntz) AS created_at", "id AS at",
+    )
+    order = ["created_at", F.col("at")]
+    plain, ends = reduce_attempts(attempts, order), reduce_attempts(attempts, order, ends_first=True)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, ends.collect())) and ends.count() == 38
+    keyed = attempts.withColumn("execution_id", execution_id(F.col("task_id"), F.col("model"))).filter("execution_id IS NOT NULL")
+    assert 76 <= _possible_ends(keyed, F.struct(*order)).count() < 100  # of 2850
+
+
 def test_records_without_a_key_are_no_runs(make_attempts):
     attempts = make_attempts({"task_id": None, "model": "m"}, {"task_id": "t", "model": None}, {"task_id": "t", "model": "m"})
     assert reduce_attempts(attempts, ["at"]).count() == 1
