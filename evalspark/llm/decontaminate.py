@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.columns import compute_once
-from evalspark.llm.common import ascii_lower, read, stored
+from evalspark.llm.common import ascii_lower, read, split_marked, stored
 
 WINDOW = 13
 #: After lower-casing A-Z a word is a run of digits, letters a-z and all beyond ASCII.
@@ -153,11 +153,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns as they came.
 
     Whether a row goes depends on its text alone, so the few texts that go are stored, and rows
-    are held against these by the SHA-256 of their text; ids need not be there or differ.
+    are held against these by the SHA-256 of their text; ids need not be there or differ. Only rows
+    that a filter of fixed size lets through are joined, so the other texts are not moved.
     """
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("text_key").alias("bad_key")).distinct()
-    key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(stored(bad, "contaminated"), key == F.col("bad_key"), "left_anti")
+    bad = stored(bad, "contaminated")
+    key = lambda some: F.sha2(F.coalesce(some["text"], F.lit("")), 256)
+    asked, clear = split_marked(docs, [key(docs)], bad)
+    return clear.unionByName(asked.join(bad, key(asked) == F.col("bad_key"), "left_anti"))
 
 
 def op4_benchmark_decontamination(spark, folder: str) -> DataFrame:

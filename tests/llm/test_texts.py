@@ -225,6 +225,13 @@ def test_marked_rows_are_asked(spark, make_docs):
     assert split_marked(docs, [docs["doc_id"], docs["text"]], marked.limit(0))[1].count() == 2002
 
 
+def _branches(plan: str, table: str) -> list[str]:
+    """The plan up to each scan of ``table``, without the other scans of it."""
+    lines = plan.split("== Initial Plan ==")[0].splitlines()
+    scans = [at for at, line in enumerate(lines) if "FileScan" in line and table in line]
+    return ["\n".join(line for at, line in enumerate(lines) if at == own or at not in scans) for own in scans]
+
+
 def _moved(plan: str, table: str) -> list[str]:
     """The shuffles and joins without broadcast that lie above a scan of ``table`` in a plan."""
     lines = plan.split("== Initial Plan ==")[0].splitlines()
@@ -261,7 +268,13 @@ def test_stages_do_not_move_texts(spark, make_docs, monkeypatch):
         assert len(measured) == 1 and not _moved(measured[0], "/given-")
         kept = simhash.keep_first(docs)
         assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, i) for i in range(0, 60, 2)] + [(True, None)]
-        assert not _moved(kept._jdf.queryExecution().toString().split("== Physical Plan ==")[1], "/given-")
+        clean = decontaminate.decontaminate(docs, spark.createDataFrame([(1, docs.where("doc_id = 4").first().text)], "item_id int, text string"))
+        assert sorted((r.doc_id is None, r.doc_id) for r in clean.collect()) == [(False, i) for i in range(60) if i not in (4, 5)] + [(True, None)]
+        # one branch holds what is asked against what goes, the other has no join but with the filter
+        for frame, asked in ((kept, 0), (clean, 1)):
+            plan = frame._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            scans = [_moved(part, "/given-") for part in _branches(plan, "/given-")]
+            assert sum(map(bool, scans)) == asked and len(scans) == asked + 1
     finally:
         spark.conf.set(setting, before)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
