@@ -19,12 +19,11 @@ tables. ``docs`` may have any other columns.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import filterfalse
+from itertools import compress, filterfalse
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +32,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import read, shared_folder, stored, tasks_for
-from evalspark.llm.token_counts import groups
-from evalspark.llm.vocabulary import BLANK, LONGEST, REMEMBERED, Memory, load, public_path, units
+from evalspark.llm.vocabulary import BLANK_BYTES, LONGEST, cuts, load, public_path
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
 MAX_BITS, CHECKPOINT = 20, 512
-BLANKS = frozenset(re.findall(f"[{BLANK}]", "".join(map(chr, range(1 << 14)))))
 #: Ids that are coded at once, about, so that what is made of them stays in the caches; and decoded at
 #: once, where many stretches share every step.
 CODED_IDS, DECODED_IDS = 100_000, 1_000_000
-
-
 #: Units that are given to the library as one text, and texts that are given to it at once.
-ROW, ROWS = 5_000, 8
+ROW, ROWS = 500, 16
+#: Texts that are cut at once, in bytes, about.
+CUT_BYTES = 4_000_000
+#: A worker remembers so many units at most, none longer than ``LONGEST`` bytes.
+REMEMBERED = 1_200_000
+LAST_BYTES = frozenset(blank[-1] for blank in BLANK_BYTES)
 
 
 def token_lengths(tokenizer) -> np.ndarray:
@@ -57,79 +57,126 @@ def token_lengths(tokenizer) -> np.ndarray:
     return table
 
 
-def _encode_units(tokenizer, lengths: np.ndarray, units: list[str]) -> dict[str, bytes]:
-    """The ids of units, which are given to the library in rows of many where they stand apart.
+def _width(tokenizer) -> np.dtype:
+    return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+
+def _stands_apart(unit: bytes) -> bool:
+    """Begins with white space and ends without it; with wide white space in front it is not looked at."""
+    return unit[0] in b"\t\n\x0b\f\r " and (unit[-1] not in LAST_BYTES or not unit.endswith(BLANK_BYTES))
+
+
+def _encode_units(tokenizer, lengths: np.ndarray, units: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The units in another order, the ids of all of them, and how many each has.
 
     A unit that begins with white space and ends without it is tokenized after another such unit as
-    it is alone; the others are given one by one. Where a unit ends among the ids of its row follows
-    from the lengths of the tokens.
+    it is alone, so many are given to the library in one row; the others are given one by one. Where
+    a unit ends among the ids of its row follows from the lengths of the tokens.
     """
-    out: dict[str, bytes] = {}
-    apart = [unit for unit in units if unit[0] in BLANKS and unit[-1] not in BLANKS]
-    rows = [apart[start : start + ROW] for start in range(0, len(apart), ROW)]
+    width, order, ids, sizes = _width(tokenizer), [], [], []
+    apart = list(map(_stands_apart, units))
+    alone, units = list(compress(units, map(not_, apart))), list(compress(units, apart))
+    rows = [units[start : start + ROW] for start in range(0, len(units), ROW)]
     for start in range(0, len(rows), ROWS):
         some = rows[start : start + ROWS]
-        texts = ["".join(row) for row in some]
-        for row, found in zip(some, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            sizes = [len(unit) if unit.isascii() else len(unit.encode()) for unit in row]
-            ends = np.cumsum(np.array(sizes, np.int64))
-            bounds = np.cumsum(lengths[ids])
-            cuts = np.searchsorted(bounds, ends) + 1
-            if cuts[-1] != len(ids) or (bounds[cuts - 1] != ends).any():
-                continue  # a token runs over the end of a unit: these are given one by one
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            out.update(zip(row, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-    rest = [unit for unit in units if unit not in out] if len(out) < len(units) else []
-    alone = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-    out.update(zip(rest, (array("I", found.ids).tobytes() for found in alone), strict=True))
-    return out
-
+        texts = [b"".join(row).decode() for row in some]
+        for row, encoded in zip(some, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            found = np.array(encoded.ids, width)
+            ends, bounds = np.cumsum(np.array(list(map(len, row)), np.int64)), np.cumsum(lengths[found])
+            last = np.searchsorted(bounds, ends)  # the last id of every unit
+            if last[-1] + 1 != len(found) or (bounds[last] != ends).any():
+                alone += row  # a token runs over the end of a unit
+                continue
+            order += row
+            ids.append(found)
+            sizes.append(np.diff(last, prepend=-1))
+    for start in range(0, len(alone), ROW):
+        some = alone[start : start + ROW]
+        encoded = [found.ids for found in tokenizer.encode_batch_fast([unit.decode() for unit in some], add_special_tokens=False)]
+        order += some
+        ids += [np.array(found, width) for found in encoded]
+        sizes.append(np.array(list(map(len, encoded)), np.int64))
+    return order, np.concatenate([np.zeros(0, width), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+
+class Units:
+    """The ids of the units that a worker has met, one after the other, and the number of every unit.
+
+    It begins anew when it is full. Long units are forgotten after each call.
+    """
 
-class Ids(Memory):
-    """Unit -> its ids; texts are looked up whole, when all their units are there."""
-
-    def joined(self, texts: list[list[str]], last: bytes) -> list[bytes]:
-        """The ids of every text, and ``last`` behind them."""
-        missing = set()
-        for text in texts:
-            missing.update(filterfalse(self.__contains__, text))
-        if len(self) + len(missing) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-            missing = set().union(*texts)
-        if self.older:
-            again = missing & self.older.keys()
-            self.update([(unit, self.older[unit]) for unit in again])
-            missing -= again
-        self.update(self.make(list(missing)))
-        found = [b"".join(map(self.__getitem__, text)) + last for text in texts]
-        for unit in missing:
-            if len(unit) > LONGEST:
-                del self[unit]
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.lengths = tokenizer, token_lengths(tokenizer)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.ids, self.sizes = np.zeros(0, _width(self.tokenizer)), np.zeros(0, np.int64)
+
+    def add(self, units: list[bytes]) -> None:
+        order, ids, sizes = _encode_units(self.tokenizer, self.lengths, units)
+        self.numbers.update(zip(order, range(len(self.sizes), len(self.sizes) + len(order)), strict=True))
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def of(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, sizes, ids): the number of every unit, and by number the sizes and ids of all."""
+        missing = list(filterfalse(self.numbers.__contains__, units))
+        if len(self.numbers) + len(missing) > REMEMBERED:
+            self.forget()
+            missing = units
+        long = [unit for unit in missing if len(unit) > LONGEST]
+        self.add([unit for unit in missing if len(unit) <= LONGEST] if long else missing)
+        kept = self.ids, self.sizes
+        if long:
+            self.add(long)
+        found = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units)), self.sizes, self.ids
+        for unit in long:
+            del self.numbers[unit]
+        self.ids, self.sizes = kept
         return found
 
 
 @cache
-def _memory(path: str) -> Ids:
-    tokenizer = load(path)
-    lengths = token_lengths(tokenizer)
-    return Ids(lambda missing: _encode_units(tokenizer, lengths, missing))
+def _memory(path: str) -> Units:
+    return Units(load(path))
+
+
+def _encode_texts(path: str, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, ``end`` behind each, and where those of each text end.
+
+    Every different unit of the texts is looked up once; the ids are gathered by its number.
+    """
+    tokenizer, data = load(path), b"".join(texts)
+    ends = np.cumsum(np.array(list(map(len, texts)), np.int64))
+    begins = cuts(data, [token.content.encode() for token in tokenizer.get_added_tokens_decoder().values()])
+    begins[0] = begins[ends] = True
+    bounds = np.flatnonzero(begins).astype(np.int64)
+    buffers = [None, pa.py_buffer(bounds), pa.py_buffer(data)]
+    units = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, buffers).dictionary_encode()
+    numbers, sizes, pool = _memory(path).of(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+    pool, sizes = np.append(pool, np.array([end], pool.dtype)), np.append(sizes, 1)
+    places = np.cumsum(sizes) - sizes
+    behind = np.searchsorted(bounds, ends)  # so many units up to the end of each text
+    numbers = np.insert(numbers[units.indices.to_numpy()], behind, len(sizes) - 1)
+    sizes, places = sizes[numbers], places[numbers]
+    stops = np.cumsum(sizes)
+    ids = pool[np.repeat(places - stops + sizes, sizes) + np.arange(stops[-1])]
+    return ids, stops[behind + np.arange(len(texts))]
 
 
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.array([end], "<u4").tobytes()
-        width = "<u2" if load(path).get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for rows in groups(texts):
-                ids = _memory(path).joined([units(text) for text in texts[rows]], last)
+            texts = [text or b"" for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            for rows in _slices(list(map(len, texts)), CUT_BYTES):
+                ids, ends = _encode_texts(path, texts[rows], end)
+                sizes, ends = np.diff(ends, prepend=0), ends.tolist()
+                data, full = ids.tobytes(), memoryview(ids.astype("<u4").tobytes())
+                spans = list(zip([0, *ends], ends, strict=False))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[rows], pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        pa.array([np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids], pa.binary()),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        batch.column(0)[rows], pa.array([zlib.crc32(full[4 * a : 4 * b]) for a, b in spans], pa.int64()),
+                        pa.array([data[ids.itemsize * a : ids.itemsize * b] for a, b in spans], pa.binary()), pa.array(sizes, pa.int64()),
                     ],
                     ["doc_id", "crc", "ids", "n_ids"],
                 )

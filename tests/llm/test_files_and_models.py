@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -158,6 +159,35 @@ def test_token_files_edge_cases(spark, make_docs, vocabulary, tmp_path):
         assert [(r.doc_id, r.start, r.n_tokens) for r in found.collect()] == want
 
 
+def test_token_ids_of_any_characters(vocabulary, monkeypatch):
+    tokenizer, rng = load(vocabulary), random.Random(3)
+    parts = ["a", "Z", "the", " word", " ciónrr", "é", "×", "÷", "ß", "'", "'s", "#'s", "'ll", "0", "28", "²", "٣", ",", "-", "(", "|", "$$", "“", "’", "日本", "😀", "́", "ʰ"]
+    parts += [" ", " ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x00", "\x7f", "\x85", "\xa0", "\u2003", "\u3000", "\u200b"]
+    parts += ["<|endoftext|>", "<|endof", "text|>", "<|endoftext|<|endoftext|>", "x" * 80]
+    token_files._memory(vocabulary).forget()
+    monkeypatch.setattr(token_files, "ROW", 3)
+    monkeypatch.setattr(token_files, "REMEMBERED", 2_000)
+    for _ in range(60):
+        texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 2, 5, 60]))) for _ in range(60)]
+        ids, ends = token_files._encode_texts(vocabulary, [text.encode() for text in texts], 0)
+        found = [part.tolist() for part in np.split(ids, ends)]
+        assert found == [[*e.ids, 0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)] + [[]]
+        known = token_files._memory(vocabulary)
+        assert len(known.numbers) == len(known.sizes) and known.sizes.sum() == len(known.ids) and max(map(len, known.numbers)) <= token_files.LONGEST
+
+
+def test_words_meet_the_library_once_whatever_follows(vocabulary, monkeypatch):
+    given, encode = [], token_files._encode_units
+    monkeypatch.setattr(token_files, "_encode_units", lambda tokenizer, lengths, units: given.extend(units) or encode(tokenizer, lengths, units))
+    words = [f" zq{a}{b}xé" for a in "abcdefgh" for b in "klmnopqr"]
+    text = "".join(word + mark for mark in ("", ",", ".", "###", "7", "'s", " |") for word in words)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    (out,) = token_files._tokenize(vocabulary, 0)(iter([batch]))
+    ids = [*load(vocabulary).encode(text, add_special_tokens=False).ids, 0]
+    assert np.frombuffer(out.column("ids")[0].as_py(), "<u2").tolist() == ids and out.column("n_ids").to_pylist() == [len(ids)]
+    assert len(given) <= len(words) + 6
+
+
 def test_code_lengths_are_optimal_and_limited():
     import heapq
 
